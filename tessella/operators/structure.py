@@ -442,11 +442,13 @@ def classify_headings(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     sizes = blocks.filter("font_size > 0").groupBy(key, "font_size").agg(F.count("*").alias("n"))
     body = sizes.groupBy(key).agg(F.max_by("font_size", F.struct("n", "font_size")).alias("body_size"))
-    rank = sizes.withColumn("size_rank", F.row_number().over(W.partitionBy(key).orderBy(F.col("font_size").desc()))).select(
-        key, "font_size", "size_rank")
+    ladder = sizes.groupBy(key).agg(F.sort_array(F.collect_set("font_size"), asc=False).alias("ladder"))
     first = tx.strip(F.split_part("text", F.lit("\n"), F.lit(1)))
     b = blocks.withColumn("first_line", first).filter(~F.col("first_line").rlike(TOC_LEADER))
-    b = b.join(body, key, "left").join(rank, [key, "font_size"], "left")
+    b = b.join(body, key, "left").join(ladder, key, "left")
+    # Level by size: place of the first size of the document within half a point.
+    near = F.array_position(F.transform("ladder", lambda s: F.abs(s - F.col("font_size")) < 0.5), True)
+    b = b.withColumn("size_rank", near)
     line, size = F.col("first_line"), F.col("font_size")
     body_size = F.coalesce("body_size", F.lit(10.0))
     short, font_ok = F.length("text") <= 400, size + 0.1 >= body_size
