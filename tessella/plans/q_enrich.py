@@ -80,10 +80,10 @@ def e03(spark, d):
 
 # Rules for the kinds of names the documents hold.
 RULES = [
-    (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "ip_address"),
+    (r"\d{1,3}(?:\.\d{1,3}){3}", "ip_address"),
     (r"[A-Za-z0-9._]+@[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)+", "email"),
-    (r"\b[0-9a-f]{40}\b", "digest"),
-    (r"\b[A-Z][a-z]+tion\b", "action"),
+    (r"[0-9a-f]{40}", "digest"),
+    (r"[A-Z][a-z]+tion", "action"),
 ]
 
 
