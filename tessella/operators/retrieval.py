@@ -43,6 +43,7 @@ GRAPH_BASE = 0.85
 CARD_BOOST = 1.1
 EXPANSION_BUDGET = 20
 K1, B = 1.2, 0.75
+OUTSIDE = -2.0  # below any cosine: marks a vector of another group
 
 
 def top_k(df: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "unit_id") -> DataFrame:
@@ -261,8 +262,10 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int):
     return keep
 
 
-def _score_frame(q_ids, q_mat, ids, mat, k):
+def _score_frame(q_ids, q_mat, ids, mat, k, q_groups=None, groups=None):
     scores = np.round(q_mat @ mat.T, 6)
+    if groups is not None:
+        scores[np.asarray(q_groups)[:, None] != np.asarray(groups)[None, :]] = OUTSIDE
     out = []
     for row, q in enumerate(q_ids):
         s = scores[row]
@@ -274,6 +277,7 @@ def _score_frame(q_ids, q_mat, ids, mat, k):
         else:
             idx = np.arange(len(s))
         keep = idx[_best(ids[idx], s[idx], k)]
+        keep = keep[s[keep] > OUTSIDE]
         out.append(pd.DataFrame({"query_id": q, "unit_id": ids[keep], "score": s[keep]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "unit_id": [], "score": []})
 
@@ -285,24 +289,28 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, dim: int, max_sh
     Up to ``max_shared_queries`` query vectors are shared with every task and the corpus is read
     once without a shuffle: each task keeps its k best per query. More queries than that are
     compared block by block, every (corpus block, query block) pair being one bounded task.
-    Several vectors may carry the same ``unit_id``; the closest one counts.
+    Several vectors may carry the same ``unit_id``; the closest one counts. If both tables have a
+    ``group`` column, only vectors of the query's own group count.
     """
-    q = queries.filter(F.size("vector") == dim).select("query_id", "vector")
-    v = vectors.filter(F.size("vector") == dim).select("unit_id", "vector")
+    extra = ["group"] if "group" in queries.columns and "group" in vectors.columns else []
+    q = queries.filter(F.size("vector") == dim).select("query_id", "vector", *extra)
+    v = vectors.filter(F.size("vector") == dim).select("unit_id", "vector", *extra)
     id_type = v.schema["unit_id"].dataType.simpleString()
     q_type = q.schema["query_id"].dataType.simpleString()
     schema = f"query_id {q_type}, unit_id {id_type}, score double"
     if at_most(q, max_shared_queries):
         local = q.limit(max_shared_queries).toPandas()
-        shared = q.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(), _unit_rows(local["vector"], dim)))
+        shared = q.sparkSession.sparkContext.broadcast((
+            local["query_id"].to_numpy(), _unit_rows(local["vector"], dim), local["group"].to_numpy() if extra else None))
 
         def score(frames):
-            q_ids, q_mat = shared.value
+            q_ids, q_mat, q_groups = shared.value
             best = None
             for pdf in frames:
                 if len(pdf) == 0 or len(q_ids) == 0:
                     continue
-                part = _score_frame(q_ids, q_mat, pdf["unit_id"].to_numpy(), _unit_rows(pdf["vector"], dim), k)
+                part = _score_frame(q_ids, q_mat, pdf["unit_id"].to_numpy(), _unit_rows(pdf["vector"], dim), k, q_groups,
+                                    pdf["group"].to_numpy() if extra else None)
                 best = part if best is None else pd.concat([best, part])
                 if len(best) > 20 * k * len(q_ids):
                     best = _cut(best, k)
@@ -322,7 +330,8 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, dim: int, max_sh
             if len(left) == 0 or len(right) == 0:
                 return pd.DataFrame({"query_id": [], "unit_id": [], "score": []})
             return _score_frame(left["query_id"].to_numpy(), _unit_rows(left["vector"], dim),
-                                right["unit_id"].to_numpy(), _unit_rows(right["vector"], dim), k)
+                                right["unit_id"].to_numpy(), _unit_rows(right["vector"], dim), k,
+                                left["group"].to_numpy() if extra else None, right["group"].to_numpy() if extra else None)
 
         partial = qs.groupBy("bq", "bv").cogroup(vs.groupBy("bq", "bv")).applyInPandas(pair, schema)
     return top_k(partial.groupBy("query_id", "unit_id").agg(F.max("score").alias("score")), k)
