@@ -87,35 +87,41 @@ def postings(units: DataFrame) -> DataFrame:
     )
 
 
-def bm25(terms: DataFrame, units: DataFrame, round_to: int = 6) -> DataFrame:
+def bm25(terms: DataFrame, units: DataFrame, round_to: int = 6, max_shared: int = 1_000_000) -> DataFrame:
     """Field-weighted BM25 of every unit that shares a term with a query.
 
-    Only postings of query terms leave the scan side; document frequency and scores are computed
-    from the same shuffled rows. Corpus size and mean length enter as one scalar subquery.
+    Units are placed by ``unit_id`` once, as text. Up to ``max_shared`` query terms are shared with every
+    task, so a unit's postings are matched, weighted and summed where the unit lies: no posting and no
+    partial score is shuffled. More terms than that are joined by shuffle. Document frequencies count
+    the distinct terms of each unit in a pass of their own; corpus size and mean length enter as one
+    scalar subquery.
     """
+    share = F.broadcast if at_most(terms, max_shared) else (lambda df: df)
     toks = {f: tx.tokens(F.coalesce(F.col(f), F.lit(""))) for f in FIELD_WEIGHTS}
 
     def weigh(field: str) -> Column:
         return F.transform(toks[field], lambda t: F.struct(t.alias("term"), F.lit(FIELD_WEIGHTS[field]).alias("w")))
 
-    weighted = F.concat(*[weigh(f) for f in FIELD_WEIGHTS])
-    vectors = units.select("unit_id", weighted.alias("v")).withColumn("dl", F.size("v"))
+    wanted = share(terms.select("term").distinct())
     corpus = units.select(sum((F.size(t) for t in toks.values()), F.lit(0)).alias("dl")).agg(
         F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
-    wanted = terms.select("term").distinct()
+    df = (
+        units.select(F.explode(F.array_distinct(F.concat(*toks.values()))).alias("term"))
+        .join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    )
+    idf = F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = share(terms.join(df, "term").select("query_id", "term", idf.alias("idf")))
     hits = (
-        vectors.select("unit_id", "dl", F.explode("v").alias("p")).select("unit_id", "dl", "p.term", "p.w")
+        units.select("unit_id", *FIELD_WEIGHTS).repartition("unit_id")
+        .select("unit_id", F.concat(*[weigh(f) for f in FIELD_WEIGHTS]).alias("v"))
+        .select("unit_id", F.size("v").alias("dl"), F.explode("v").alias("p")).select("unit_id", "dl", "p.term", "p.w")
         .join(wanted, "term", "left_semi")
         .groupBy("unit_id", "term").agg(F.sum("w").alias("wtf"), F.max("dl").alias("dl"))
     )
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("wtf") + K1 * (1 - B + B * F.col("dl") / corpus["avgdl"])
-    weights = terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
+    saturation = F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("dl") / corpus["avgdl"]))
     return (
-        hits.join(weights, "term")
-        .groupBy("query_id", "unit_id")
-        .agg(F.round(F.sum(F.col("idf") * F.col("wtf") * (K1 + 1) / norm), round_to).alias("score"))
+        hits.select("unit_id", "term", saturation.alias("sat")).join(weights, "term")
+        .groupBy("query_id", "unit_id").agg(F.round(F.sum(F.col("idf") * F.col("sat")), round_to).alias("score"))
     )
 
 
@@ -131,11 +137,14 @@ def trigram_similarity(queries: DataFrame, units: DataFrame, threshold: float =
     """Units whose trigram set overlaps the query's by at least ``threshold`` (Jaccard).
 
     The overlap is counted over shared trigrams, so pairs without one never meet; sizes that cannot
-    reach the threshold are dropped inside the join.
+    reach the threshold are dropped inside the join. Units are placed by id once, so the counts of a
+    unit are complete in its own task; the queries' trigrams are shared up to a checked size.
     """
     q = queries.select("query_id", trigrams(F.array_join(search_tokens(F.col("query")), " ")).alias("g"))
     q = q.select("query_id", F.size("g").alias("nq"), F.explode("g").alias("gram"))
-    u = units.select("unit_id", trigrams(F.col("text")).alias("g"))
+    if at_most(q, 1_000_000):
+        q = F.broadcast(q)
+    u = units.select("unit_id", "text").repartition("unit_id").select("unit_id", trigrams(F.col("text")).alias("g"))
     u = u.select("unit_id", F.size("g").alias("nu"), F.explode("g").alias("gram"))
     fits = (F.col("nu") >= threshold * F.col("nq")) & (threshold * F.col("nu") <= F.col("nq"))
     return (
