@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from llm.licenses import ORACLE as LICENSES_SQL
+from llm.licenses import op5_licenses
 from llm.packing import op10_packing
 from llm.pieces import op6_pieces
+from llm.toxicity import op4_toxicity
 
-QUERIES = {q.__name__: q for q in (op6_pieces, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (op4_toxicity, op5_licenses, op6_pieces, op10_packing)}
+ORACLES: dict[str, str] = {"op5_licenses": LICENSES_SQL}
