@@ -6,7 +6,9 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +51,32 @@ def bucket(n: int, *cols: str | Column) -> Column:
 
 def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first ``keys`` columns, in tables that never part rows of equal keys.
+
+    A table holds at least the rows of one batch up to its last key; the rest is carried over. So memory is bounded
+    by a batch and the largest group.
+    """
+    carried: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = batch.num_rows
+        last = [c[batch.num_rows - 1].as_py() for c in batch.columns[:keys]]
+        same = np.ones(batch.num_rows, bool)
+        for c, value in zip(batch.columns[:keys], last):
+            same &= np.asarray(c.to_pandas() == value)
+        cut = int(np.argmax(same)) if same.any() else batch.num_rows
+        if cut == 0 and carried:
+            before = [c[carried[0].num_rows - 1].as_py() for c in carried[0].columns[:keys]]
+            if before == last:
+                carried.append(batch)
+                continue
+        whole = carried + ([batch.slice(0, cut)] if cut else [])
+        if whole:
+            yield pa.Table.from_batches(whole)
+        carried = [batch.slice(cut)]
+    if carried:
+        yield pa.Table.from_batches(carried)

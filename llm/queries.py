@@ -7,6 +7,7 @@ from llm.licenses import op5_licenses
 from llm.packing import op10_packing
 from llm.pieces import op6_pieces
 from llm.toxicity import op4_toxicity
+from llm.vectors import op1_nearest, op7_near_vectors
 
-QUERIES = {q.__name__: q for q in (op4_toxicity, op5_licenses, op6_pieces, op10_packing)}
+QUERIES = {q.__name__: q for q in (op1_nearest, op4_toxicity, op5_licenses, op6_pieces, op7_near_vectors, op10_packing)}
 ORACLES: dict[str, str] = {"op5_licenses": LICENSES_SQL}
