@@ -7,10 +7,11 @@ from llm.licenses import op5_licenses
 from llm.lines import op3_lines
 from llm.packing import op10_packing
 from llm.passages import op9_passages
+from llm.pii import op2_surrogates
 from llm.pieces import op6_pieces
 from llm.shingles import op8_near_documents
 from llm.toxicity import op4_toxicity
 from llm.vectors import op1_nearest, op7_near_vectors
 
-QUERIES = {q.__name__: q for q in (op1_nearest, op3_lines, op4_toxicity, op5_licenses, op6_pieces, op7_near_vectors, op8_near_documents, op9_passages, op10_packing)}
+QUERIES = {q.__name__: q for q in (op1_nearest, op2_surrogates, op3_lines, op4_toxicity, op5_licenses, op6_pieces, op7_near_vectors, op8_near_documents, op9_passages, op10_packing)}
 ORACLES: dict[str, str] = {"op5_licenses": LICENSES_SQL}

@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import rows, table
@@ -227,8 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
     """Train on at most sample_per_class labelled documents of each class. Null texts or labels take no part."""
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marks.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_per_class).drop("n")
+    chosen = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class) for c in (0, 1)]
+    chosen = chosen[0].union(chosen[1])
     sample = own.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"])
     return train(sample["text"].tolist(), sample["toxic"].to_numpy() > 0)
 
