@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import bucket, runs, settle
+from llm.common import bucket, release, runs, settle
 from llm.words import mix
 
 #: Rows compared at once.
@@ -87,12 +87,29 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(np.diff(bounds) > 0, np.bitwise_xor.reduceat(bits, np.minimum(bounds[:-1], len(bits) - 1)), np.uint64(0)) if len(bounds) > 1 else bits[:0]
 
 
-def survey(texts: DataFrame, items: Items) -> DataFrame:
-    """One row per item (doc, no, s, n) and, at the end of each task, its share of the counting table (slot, counts).
+def parities(tokens: np.ndarray) -> bytes:
+    """Parities of a set by the low bits of its tokens, four or more for each token, as bytes."""
+    bits = 64
+    while bits < 4 * len(tokens):
+        bits *= 2
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
-    ``texts`` has two columns, id and text. Written once, as every later step reads it.
+
+def parity_distance(a: bytes, b: bytes) -> int:
+    """A lower bound on the number of tokens that are in one of two sets only; the finer parities are folded."""
+    x, y = sorted((np.frombuffer(v, np.uint8) for v in (a, b)), key=len)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def survey(texts: DataFrame, items: Items, with_parities: bool = False) -> DataFrame:
+    """One row per item (doc, no, s, n, bits) and, at the end of each task, its share of the counting table (slot, counts).
+
+    ``texts`` has two columns, id and text. bits are the item's parities if asked for. Written once, as every later step
+    reads it.
     """
-    fields = pa.schema([("doc", pa.int64()), ("no", pa.int32()), ("s", pa.int64()), ("n", pa.int32()), ("slot", pa.int32()), ("counts", pa.binary())])
+    fields = pa.schema([("doc", pa.int64()), ("no", pa.int32()), ("s", pa.int64()), ("n", pa.int32()), ("slot", pa.int32()), ("counts", pa.binary()), ("bits", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -102,11 +119,26 @@ def survey(texts: DataFrame, items: Items) -> DataFrame:
                 counts += np.bincount((tokens >> np.uint64(58 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
                 k = len(at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(no, pa.int32()), pa.array(names(tokens, bounds).view(np.int64)),
-                                                  pa.array(np.diff(bounds), pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=fields)
+                                                  pa.array(np.diff(bounds), pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
+                                                  pa.array([parities(tokens[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()) if with_parities else pa.nulls(k, pa.binary())], schema=fields)
         parts = [p.tobytes() for p in np.split(counts, SLOTS)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(SLOTS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32())] + [pa.array(range(SLOTS), pa.int32()), pa.array(parts)], schema=fields)
+        yield pa.RecordBatch.from_arrays([pa.nulls(SLOTS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32())] + [pa.array(range(SLOTS), pa.int32()), pa.array(parts), pa.nulls(SLOTS, pa.binary())], schema=fields)
+
+    return settle(texts.mapInArrow(read, "doc long, no int, s long, n int, slot int, counts binary, bits binary"))
+
+
+def near_enough(pairs: DataFrame, bits: DataFrame, rule: Threshold) -> DataFrame:
+    """The pairs (a, b) that their parities don't rule out. bits: (s, n, bits), one row per set."""
+    x = bits.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    y = bits.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, xa, xb = (c.to_pylist() for c in batch.columns[2:])
+            good = [parity_distance(p, q) <= a + b - 2 * rule.overlap(a, b) for a, b, p, q in zip(na, nb, xa, xb)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    return settle(texts.mapInArrow(read, "doc long, no int, s long, n int, slot int, counts binary"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(keep, "a long, b long")
 
 
 def frequencies(surveyed: DataFrame) -> np.ndarray:
@@ -230,7 +262,9 @@ def matches(texts: DataFrame, items: Items, surveyed: DataFrame, rule: Threshold
                     yield pa.RecordBatch.from_arrays([pa.array(rows[k].astype(np.int64) if k != "g" and k != "s" else rows[k].view(np.int64)) for k in ("t", "s", "n", "p", "g")], ["t", "s", "n", "p", "g"])
 
     dealt = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return settle(dealt.mapInArrow(compare, "t long, s long, n long, p long, g long").distinct())
+    found = settle(dealt.mapInArrow(compare, "t long, s long, n long, p long, g long").distinct())
+    release(blocks)
+    return found
 
 
 def sets_of(texts: DataFrame, items: Items, wanted: DataFrame) -> DataFrame:

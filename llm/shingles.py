@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import table
 from llm.components import components
-from llm.setjoin import Threshold, matches, sets_of, survey, verify
+from llm.common import settle, table
+from llm.setjoin import Threshold, matches, near_enough, sets_of, survey, verify
 from llm.words import Texts, mix, slices, spans
 
 WORDS = 5
@@ -50,12 +50,15 @@ def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) ->
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rule, items = Threshold(hundredths), shingle_items(words)
-    surveyed = survey(texts, items)
+    surveyed = survey(texts, items, with_parities=True)
     own = surveyed.where("slot is null").select("doc", "no", "s", "n")
     found = matches(texts, items, surveyed, rule)
     first = own.where("n > 0 and doc is not null").groupBy("s").agg(F.min("doc").alias("doc"), F.lit(0).alias("no"))
 
+    bits = surveyed.where("n > 0").select("s", "n", "bits").dropDuplicates(["s"])
+
     def check(pairs: DataFrame) -> DataFrame:
+        pairs = settle(near_enough(pairs, bits, rule))
         needed = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct().join(first, "s")
         return verify(pairs, sets_of(texts, items, needed), rule)
 
@@ -63,6 +66,7 @@ def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) ->
     heads = found.groupBy("t").agg(F.min(row).alias("x"))
     star = found.withColumn("y", row).join(heads, "t").where("x.s != y.s").where(rule.passes(F.col("x"), F.col("y")))
     star = star.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
+    star = settle(star)
     links = check(star)
     classes = components(links).withColumnRenamed("id", "s")
     placed = found.join(classes, "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component")
