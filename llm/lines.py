@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import settle, table
-from llm.setjoin import Threshold, matches, sets_of, survey, verify
+from llm.setjoin import Threshold, matches, near_enough, sets_of, survey, verify
 from llm.words import Texts, slices
 
+#: Lines of at least so many distinct words get parities besides their 64-bit signature.
+LONG = 64
+
 
 def line_items(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Items of the join: one per line (cut at line feeds), its distinct words, A to Z lower-cased."""
@@ -36,24 +39,26 @@ def removed_lines(texts: DataFrame, hundredths: int = 80) -> DataFrame:
     other earlier ones. Lines without words stay.
     """
     rule = Threshold(hundredths)
-    surveyed = survey(texts, line_items)
+    surveyed = survey(texts, line_items, LONG)
     own = surveyed.where("slot is null and n > 0 and doc is not null").select("doc", "no", "s")
     first = settle(own.groupBy("s").agg(F.min(F.struct("doc", "no")).alias("f")))
     found = settle(matches(texts, line_items, surveyed, rule).join(first, "s"))
 
     def check(pairs: DataFrame) -> DataFrame:
+        pairs = settle(pairs.where(~F.col("long")).select("a", "b").union(near_enough(pairs.where("long").select("a", "b"), surveyed, rule)))
         needed = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct().join(first, "s").select("s", "f.doc", "f.no")
         return verify(pairs, sets_of(texts, line_items, needed), rule)
 
     row = F.struct("f", "s", "n", "p", "g")
     heads = found.groupBy("t").agg(F.min(row).alias("x"))
     star = found.withColumn("y", row).join(heads, "t").where("x.s != y.s").where(rule.passes(F.col("x"), F.col("y")))
-    star = settle(star.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct())
+    ends = F.col("x.s").alias("a"), F.col("y.s").alias("b"), (F.least("x.n", "y.n") >= LONG).alias("long")
+    star = settle(star.select(*ends).distinct())
     decided = check(star).select(F.col("b").alias("s")).distinct()
     x = found.select("t", row.alias("x"))
     y = found.join(decided, "s", "left_anti").select("t", row.alias("y"))
     rest = x.join(y, "t").where("x.f < y.f").where(rule.passes(F.col("x"), F.col("y")))
-    rest = rest.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    rest = rest.select(*ends).distinct().join(star, ["a", "b"], "left_anti")
     gone = decided.union(check(settle(rest)).select(F.col("b").alias("s"))).distinct().withColumn("gone", F.lit(True))
     fate = first.join(gone, "s", "left")
     return own.join(fate, "s").where("gone or f.doc != doc or f.no != no").groupBy("doc").agg(F.collect_set("no").alias("lines"))

@@ -103,11 +103,11 @@ def parity_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def survey(texts: DataFrame, items: Items, with_parities: bool = False) -> DataFrame:
+def survey(texts: DataFrame, items: Items, parities_from: int) -> DataFrame:
     """One row per item (doc, no, s, n, bits) and, at the end of each task, its share of the counting table (slot, counts).
 
-    ``texts`` has two columns, id and text. bits are the item's parities if asked for. Written once, as every later step
-    reads it.
+    ``texts`` has two columns, id and text. bits are the parities of items of at least
+    parities_from tokens. Written once, as every later step reads it.
     """
     fields = pa.schema([("doc", pa.int64()), ("no", pa.int32()), ("s", pa.int64()), ("n", pa.int32()), ("slot", pa.int32()), ("counts", pa.binary()), ("bits", pa.binary())])
 
@@ -120,25 +120,26 @@ def survey(texts: DataFrame, items: Items, with_parities: bool = False) -> DataF
                 k = len(at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(no, pa.int32()), pa.array(names(tokens, bounds).view(np.int64)),
                                                   pa.array(np.diff(bounds), pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
-                                                  pa.array([parities(tokens[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()) if with_parities else pa.nulls(k, pa.binary())], schema=fields)
+                                                  pa.array([parities(tokens[a:b]) if b - a >= parities_from else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], schema=fields)
         parts = [p.tobytes() for p in np.split(counts, SLOTS)]
         yield pa.RecordBatch.from_arrays([pa.nulls(SLOTS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32())] + [pa.array(range(SLOTS), pa.int32()), pa.array(parts), pa.nulls(SLOTS, pa.binary())], schema=fields)
 
     return settle(texts.mapInArrow(read, "doc long, no int, s long, n int, slot int, counts binary, bits binary"))
 
 
-def near_enough(pairs: DataFrame, bits: DataFrame, rule: Threshold) -> DataFrame:
-    """The pairs (a, b) that their parities don't rule out. bits: (s, n, bits), one row per set."""
+def near_enough(pairs: DataFrame, surveyed: DataFrame, rule: Threshold) -> DataFrame:
+    """The pairs (a, b) that the sets' parities don't rule out; pairs of a set without parities stay."""
+    bits = surveyed.where("bits is not null").select("s", "n", "bits").dropDuplicates(["s"])
     x = bits.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     y = bits.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb, xa, xb = (c.to_pylist() for c in batch.columns[2:])
-            good = [parity_distance(p, q) <= a + b - 2 * rule.overlap(a, b) for a, b, p, q in zip(na, nb, xa, xb)]
+            good = [p is None or q is None or parity_distance(p, q) <= a + b - 2 * rule.overlap(a, b) for a, b, p, q in zip(na, nb, xa, xb)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(keep, "a long, b long")
+    return pairs.join(x, "a", "left").join(y, "b", "left").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(keep, "a long, b long")
 
 
 def frequencies(surveyed: DataFrame) -> np.ndarray:

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.components import components
 from llm.common import settle, table
+from llm.components import components
 from llm.setjoin import Threshold, matches, near_enough, sets_of, survey, verify
 from llm.words import Texts, mix, slices, spans
 
@@ -50,15 +50,13 @@ def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) ->
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rule, items = Threshold(hundredths), shingle_items(words)
-    surveyed = survey(texts, items, with_parities=True)
+    surveyed = survey(texts, items, parities_from=1)
     own = surveyed.where("slot is null").select("doc", "no", "s", "n")
     found = matches(texts, items, surveyed, rule)
     first = own.where("n > 0 and doc is not null").groupBy("s").agg(F.min("doc").alias("doc"), F.lit(0).alias("no"))
 
-    bits = surveyed.where("n > 0").select("s", "n", "bits").dropDuplicates(["s"])
-
     def check(pairs: DataFrame) -> DataFrame:
-        pairs = settle(near_enough(pairs, bits, rule))
+        pairs = settle(near_enough(pairs, surveyed, rule))
         needed = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct().join(first, "s")
         return verify(pairs, sets_of(texts, items, needed), rule)
 
