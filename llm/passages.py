@@ -80,7 +80,7 @@ def _locate(h: np.ndarray, phrase_at: np.ndarray, phrase: int) -> np.ndarray:
 
 
 def repeated_ranges(texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(key, ranges): first and end word of runs of recurring windows, for each row (key, text) that has any."""
+    """(key, ranges): runs of recurring windows as first word << 32 | end word, for each row (key, text) that has any."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +132,8 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     each = known.where("windows is not null").select("key", "g", "lo", "times", F.posexplode("windows").alias("i", "w"))
     twice = each.groupBy("g", "w").agg(F.count("*").alias("c")).where("c > 1").select("g", "w")
     single = each.where("times = 1").join(twice, ["g", "w"]).select("key", (F.col("lo") + F.col("i")).alias("a"), (F.col("lo") + F.col("i") + window).alias("b"))
-    return whole.union(single).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    both = whole.union(single).select("key", (F.col("a").cast("long") * (1 << 32) + F.col("b")).alias("range"))
+    return both.groupBy("key").agg(F.collect_set("range").alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -155,9 +156,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
                 n = len(words)
                 if own.is_valid:
                     step = np.zeros(n + 1, np.int64)
-                    spans_ = np.array([(r["a"], r["b"]) for r in own.as_py()])
-                    np.add.at(step, spans_[:, 0], 1)
-                    np.add.at(step, spans_[:, 1], -1)
+                    packed = own.values.to_numpy()
+                    np.add.at(step, packed >> 32, 1)
+                    np.add.at(step, packed & 0xFFFFFFFF, -1)
                     words = list(compress(words, (np.cumsum(step)[:n] == 0).tolist()))
                 total.append(n)
                 gone.append(n - len(words))

@@ -26,11 +26,15 @@ from llm.words import mix
 
 #: Rows compared at once.
 LIMIT = 1 << 18
-SKETCH_BITS = 18
+SKETCH_BITS = 20
+#: Bits of a token; the rest of 64 holds its frequency class.
+TOKEN_BITS = 57
+#: 64-bit words of the parities that prefix rows are joined with.
+JOIN_WORDS = 8
 SLOTS = 16
 #: Members of a centre that are verified together.
 STAR = 256
-_MASK = np.uint64((1 << 58) - 1)
+_MASK = np.uint64((1 << TOKEN_BITS) - 1)
 _ROW = np.dtype([("t", "<u4"), ("n", "<u4"), ("p", "<u4"), ("s", "<u8"), ("g", "<u8")])
 
 #: Cuts items out of an Arrow array of texts: yields (index of the text, number within it, tokens, bounds) of some items.
@@ -53,12 +57,19 @@ class Threshold:
     def index(self, n):
         return n + ((-2 * self.h * n) // (100 + self.h)) + 1
 
-    def passes(self, a: Column, b: Column) -> Column:
-        """Filters on two prefix rows (structs of n, p, g) that share a token, in Spark."""
+    def passes(self, a: Column, b: Column, words: int = 0) -> Column:
+        """Filters on two prefix rows (structs of n, p, g, and w of some words) that share a token, in Spark."""
         need = F.ceil(self.h * (a["n"] + b["n"]) / (100 + self.h))
         low, high = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
         after = F.least(a["n"] - a["p"], b["n"] - b["p"])
-        return (100 * low >= self.h * high) & (after >= need) & (F.bit_count(a["g"].bitwiseXOR(b["g"])) <= a["n"] + b["n"] - 2 * need)
+        most = a["n"] + b["n"] - 2 * need
+        out = (100 * low >= self.h * high) & (after >= need) & (F.bit_count(a["g"].bitwiseXOR(b["g"])) <= most)
+        if words:
+            differ = F.lit(0)
+            for i in range(words):
+                differ = differ + F.bit_count(F.get(a["w"], F.lit(i)).bitwiseXOR(F.get(b["w"], F.lit(i))))
+            out = out & (F.coalesce(differ, F.lit(0)) <= most)
+        return out
 
 
 def distinct(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +106,14 @@ def parities(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
+def join_words(bits: bytes) -> list[int] | None:
+    """Parities folded to JOIN_WORDS words; none for a set of fewer bits."""
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > 8 * JOIN_WORDS:
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return np.frombuffer(x.tobytes(), np.int64).tolist() if len(x) == 8 * JOIN_WORDS else None
+
+
 def parity_distance(a: bytes, b: bytes) -> int:
     """A lower bound on the number of tokens that are in one of two sets only; the finer parities are folded."""
     x, y = sorted((np.frombuffer(v, np.uint8) for v in (a, b)), key=len)
@@ -116,17 +135,39 @@ def survey(texts: DataFrame, items: Items, parities_from: int) -> DataFrame:
         for batch in batches:
             for at, no, tokens, bounds in items(batch.column(1)):
                 tokens, bounds = distinct(tokens & _MASK, bounds)
-                counts += np.bincount((tokens >> np.uint64(58 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                counts += np.bincount((tokens >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
                 k = len(at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(no, pa.int32()), pa.array(names(tokens, bounds).view(np.int64)),
                                                   pa.array(np.diff(bounds), pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
                                                   pa.array([parities(tokens[a:b]) if b - a >= parities_from else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], schema=fields)
-        parts = [p.tobytes() for p in np.split(counts, SLOTS)]
+        parts = [p.astype(np.uint32).tobytes() for p in np.split(counts, SLOTS)]
         yield pa.RecordBatch.from_arrays([pa.nulls(SLOTS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32())] + [pa.array(range(SLOTS), pa.int32()), pa.array(parts), pa.nulls(SLOTS, pa.binary())], schema=fields)
 
     return settle(texts.mapInArrow(read, "doc long, no int, s long, n int, slot int, counts binary, bits binary"))
 
 
+def with_words(rows: DataFrame, surveyed: DataFrame) -> DataFrame:
+    """Adds ``w``, the folded parities of each row's set; null for sets of few tokens."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([join_words(b) for b in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["s", "w"])
+
+    words = surveyed.where("bits is not null").select("s", "bits").mapInArrow(fold, "s long, w array<long>").dropDuplicates(["s"])
+    return rows.join(words, "s", "left")
+
+
+def star_pairs(rows: DataFrame, row: Column, rule: Threshold) -> DataFrame:
+    """(a, b, na, nb): for each set b the one set a that is the least, by ``row``, for the most of b's prefix tokens.
+
+    The least of a token is a combinable minimum, so a hot token is not gathered anywhere.
+    """
+    heads = rows.groupBy("t").agg(F.min(row).alias("x"))
+    met = rows.withColumn("y", row).join(heads, "t").where("x.s != y.s").where(rule.passes(F.col("x"), F.col("y")))
+    shared = met.groupBy(F.col("y.s").alias("b"), F.col("x.s").alias("a")).agg(F.count("*").alias("c"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
+    return shared.groupBy("b").agg(F.max(F.struct("c", "a", "na", "nb")).alias("m")).select("m.a", "b", "m.na", "m.nb")
+
+
 def near_enough(pairs: DataFrame, surveyed: DataFrame, rule: Threshold) -> DataFrame:
     """The pairs (a, b) that the sets' parities don't rule out; pairs of a set without parities stay."""
     bits = surveyed.where("bits is not null").select("s", "n", "bits").dropDuplicates(["s"])
@@ -149,7 +190,7 @@ def frequencies(surveyed: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[slot] = total.get(slot, 0) + np.frombuffer(raw, np.int64)
+                total[slot] = total.get(slot, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()])], ["slot", "counts"])
 
@@ -162,9 +203,9 @@ def frequencies(surveyed: DataFrame) -> np.ndarray:
 
 def ordered(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Tokens with their frequency class in the top bits, so that a rising order is rare-first."""
-    level = np.minimum(63, 2 * np.log2(np.maximum(counts, 1))).astype(np.uint64)
+    level = np.minimum(127, 4 * np.log2(np.maximum(counts, 1))).astype(np.uint64)
     tokens = tokens & _MASK
-    return level[(tokens >> np.uint64(58 - SKETCH_BITS)).astype(np.int64)] << np.uint64(58) | tokens
+    return level[(tokens >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)] << np.uint64(TOKEN_BITS) | tokens
 
 
 def _partnered(rows: np.ndarray, left: np.ndarray, rule: Threshold) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from llm.common import settle, table
 from llm.components import components
-from llm.setjoin import Threshold, matches, near_enough, sets_of, survey, verify
+from llm.setjoin import JOIN_WORDS, Threshold, matches, near_enough, sets_of, star_pairs, survey, verify, with_words
 from llm.words import Texts, mix, slices, spans
 
 WORDS = 5
@@ -41,8 +41,10 @@ def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) ->
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of every row.
 
     Documents link when their sets of word n-grams have a Jaccard similarity of at least hundredths / 100. First each
-    possible partner is checked against the smallest set that shares its token; what is linked then forms components.
-    Pairs within a component need no check any more; all other pairs that pass the filters get one. So a group of near
+    set is checked against one other, that which is the smallest set for most of its tokens; what is linked then forms
+    components.
+    Pairs
+    within a component need no check any more; all other pairs that pass the filters get one. So a group of near
     copies costs a star, not its square, and no link between components is lost.
 
     ``docs`` needs doc_id and text; other columns are ignored. Null or empty texts have no shingles and link with
@@ -60,19 +62,15 @@ def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) ->
         needed = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct().join(first, "s")
         return verify(pairs, sets_of(texts, items, needed), rule)
 
-    row = F.struct("n", "s", "p", "g")
-    heads = found.groupBy("t").agg(F.min(row).alias("x"))
-    star = found.withColumn("y", row).join(heads, "t").where("x.s != y.s").where(rule.passes(F.col("x"), F.col("y")))
-    star = star.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
-    star = settle(star)
+    star = settle(star_pairs(found, F.struct("n", "s", "p", "g"), rule).select("a", "b"))
     links = check(star)
     classes = components(links).withColumnRenamed("id", "s")
     placed = found.join(classes, "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component")
     mixed = placed.groupBy("t").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("t")
-    side = placed.join(mixed, "t")
-    x = side.select("t", F.struct("n", "s", "p", "g", "c").alias("x"))
-    y = side.select("t", F.struct("n", "s", "p", "g", "c").alias("y"))
-    cross = x.join(y, "t").where("x.c != y.c and (x.n < y.n or (x.n = y.n and x.s < y.s))").where(rule.passes(F.col("x"), F.col("y")))
+    side = with_words(placed.join(mixed, "t"), surveyed)
+    x = side.select("t", F.struct("n", "s", "p", "g", "c", "w").alias("x"))
+    y = side.select("t", F.struct("n", "s", "p", "g", "c", "w").alias("y"))
+    cross = x.join(y, "t").where("x.c != y.c and (x.n < y.n or (x.n = y.n and x.s < y.s))").where(rule.passes(F.col("x"), F.col("y"), JOIN_WORDS))
     more = check(cross.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
     classes = components(links.union(more)).withColumnRenamed("id", "s")
     named = own.join(classes, "s", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "s")))

@@ -25,10 +25,12 @@ from llm.common import rows, table
 
 BUCKETS_LOG2 = 18
 SIZES = (3, 4, 5, 6)
-WINDOW = 4
+WINDOW = 2
 DIMENSIONS = 8
 #: Labelled documents of each class that training reads at most, in the order of a hash of doc_id.
 SAMPLE_PER_CLASS = 3000
+#: Steps of a training round at least.
+STEPS = 40
 #: Characters scored at once.
 SLICE_CHARS = 1 << 20
 THRESHOLD = 0.3
@@ -146,7 +148,7 @@ def _flat(bags: Bags, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, n
     return g[np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())], n
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 4, seed: int = 7) -> Model:
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 4, epochs: int = 10, seed: int = 7) -> Model:
     """Fit embeddings and softmax weights jointly (Adam), then the scale of document scores. Needs both classes."""
     toxic = np.asarray(toxic, bool)
     size = 1 << BUCKETS_LOG2
@@ -181,9 +183,10 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 4,
                 g, n = _flat(bags, a[keep], b[keep])
                 picked.append((g, n, np.full(len(n), want, np.float32)))
         share = sum(x[2].sum() for x in picked) / max(1, sum(len(x[2]) for x in picked))
-        for _ in range(epochs):
+        batches = max(1, len(picked) // 8)
+        for _ in range(max(epochs, -(-STEPS // batches))):
             order = rng.permutation(len(picked))
-            for group in np.array_split(order, max(1, len(picked) // 8)):
+            for group in np.array_split(order, batches):
                 g = np.concatenate([picked[k][0] for k in group])
                 n = np.concatenate([picked[k][1] for k in group])
                 y = np.concatenate([picked[k][2] for k in group])
