@@ -151,7 +151,8 @@ def merge_roots(merges: DataFrame, rounds: int = 20) -> DataFrame:
     """Final target of chained merges (drop_id -> primary_id), by pointer doubling.
 
     Every round doubles the length of the chains resolved, so ``rounds`` bounds chains of 2^rounds; the
-    loop stops as soon as nothing moves.
+    loop stops as soon as nothing moves. Merges in a circle of three or more have no root and never settle:
+    that is an error. Of a pair merged into each other each keeps the other.
     """
     m = merges.filter("drop_id <> primary_id").groupBy("drop_id").agg(F.min("primary_id").alias("primary_id"))
     for _ in range(rounds):
@@ -162,6 +163,8 @@ def merge_roots(merges: DataFrame, rounds: int = 20) -> DataFrame:
         m = step.select("drop_id", F.when(F.col("next_id") == F.col("drop_id"), F.col("primary_id")).otherwise(
             F.coalesce("next_id", "primary_id")).alias("primary_id"))
         m = cut_lineage(m)
+    else:
+        raise ValueError("merges form a circle, or a chain longer than the rounds allow")
     return m
 
 

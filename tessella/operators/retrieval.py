@@ -453,13 +453,13 @@ def priority_of(types: list[str] | None) -> Column:
 
 
 def expand(seeds: DataFrame, relations: DataFrame, depth: int, types: list[str] | None = None,
-           budget: int = EXPANSION_BUDGET, scope: DataFrame | None = None) -> DataFrame:
-    """Breadth-first expansion of seed segments under a node budget per query.
+           budget: int = EXPANSION_BUDGET, scope: DataFrame | None = None, ceiling: int = EXPANSION_BUDGET) -> DataFrame:
+    """Breadth-first expansion of seed segments under a node budget per query, never above ``ceiling``.
 
     First visit wins; within a level better relation types claim the budget first. Each level keeps
     at most ``budget`` rows per query, so the frontier stays small whatever the degree of a node.
     """
-    budget = min(budget, EXPANSION_BUDGET)
+    budget = min(budget, ceiling)
     visited = seeds.select("query_id", "segment_id").distinct()
     frontier = visited.withColumn("root_id", F.col("segment_id"))
     used = visited.select("query_id").distinct().withColumn("used", F.lit(0))

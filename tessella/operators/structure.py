@@ -173,22 +173,38 @@ def table_grid(table: _Node) -> tuple[list[list[str]], bool]:
                     rows.append((head or any(c.tag == "th" for c in cells), cells))
 
     visit(table, False)
-    filled: dict[tuple[int, int], str] = {}
-    for r, (_, cells) in enumerate(rows):
-        c = 0
+    held: dict[int, list] = {}  # column -> [text, rows below that it still covers]
+
+    def line_of(cells: list[_Node]) -> dict[int, str]:
+        line, below, column = {c: text for c, (text, _) in held.items()}, {}, 0
         for cell in cells:
-            while (r, c) in filled:
-                c += 1
-            text = _squeeze(_kids(cell)).replace("|", "\\|")
-            span = [max(1, int(v)) if (v := cell.attrs.get(a, "1")).isdigit() else 1 for a in ("rowspan", "colspan")]
-            for dr in range(span[0]):
-                for dc in range(span[1]):
-                    filled[(r + dr, c + dc)] = text
-            c += span[1]
-    if not filled:
+            while column in line:
+                column += 1
+            text, wide = _squeeze(_kids(cell)).replace("|", "\\|"), _span(cell, "colspan", 1000)
+            tall = _span(cell, "rowspan", 65534)
+            line.update(dict.fromkeys(range(column, column + wide), text))
+            below.update({c: [text, tall - 1] for c in range(column, column + wide) if tall > 1})
+            column += wide
+        for c in list(held):
+            held[c][1] -= 1
+            if not held[c][1]:
+                del held[c]
+        held.update(below)
+        return line
+
+    lines = [line_of(cells) for _, cells in rows]
+    while held:
+        lines.append(line_of([]))
+    if not any(lines):
         return [], False
-    height, width = max(r for r, _ in filled) + 1, max(c for _, c in filled) + 1
-    return [[filled.get((r, c), "") for c in range(width)] for r in range(height)], rows[0][0]
+    width = max(max(line, default=-1) for line in lines) + 1
+    return [[line.get(c, "") for c in range(width)] for line in lines], rows[0][0]
+
+
+def _span(cell: _Node, name: str, most: int) -> int:
+    """Rows or columns a cell covers, within the limits that HTML sets."""
+    value = cell.attrs.get(name, "1") or "1"
+    return min(most, max(1, int(value))) if value.isdecimal() else 1
 
 
 def _pipe_table(node: _Node) -> str:
@@ -231,25 +247,34 @@ def html_to_markdown(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def html_table_cells(tables: DataFrame, key: str) -> DataFrame:
-    """Cells of the first table of each row of ``tables(key, html)`` after expanding spans.
+    """Cells of all tables of each row of ``tables(key, html)`` after expanding spans.
 
-    Output: (key, row_index, col_index, column, value), the header row giving the column names.
+    Output: (key, table_index, row_index, col_index, column, value, error), the header row giving the column names.
+    A row that cannot be read gives one line with nothing but its key and error.
     """
     key_type = tables.schema[key].dataType.simpleString()
 
+    def cells(k, html):
+        found = [n for n in _tree(html or "").walk() if n.tag == "table"]
+        for t, table in enumerate(found):
+            grid, header = table_grid(table)
+            names = grid[0] if header else [f"col{i}" for i in range(len(grid[0]) if grid else 0)]
+            for r, row in enumerate(grid[1:] if header else grid):
+                yield from ((k, t, r, c, names[c], v, None) for c, v in enumerate(row))
+
     def convert(frames):
         for pdf in frames:
             out = []
             for k, html in zip(pdf[key], pdf["html"]):
-                table = next((n for n in _tree(html or "").walk() if n.tag == "table"), None)
-                grid, header = table_grid(table) if table is not None else ([], False)
-                names = grid[0] if header else [f"col{i}" for i in range(len(grid[0]) if grid else 0)]
-                for r, row in enumerate(grid[1:] if header else grid):
-                    out.extend((k, r, c, names[c], v) for c, v in enumerate(row))
-            yield pd.DataFrame(out, columns=[key, "row_index", "col_index", "column", "value"])
+                try:
+                    out.extend(list(cells(k, html)))
+                except Exception as e:  # a bad table must not stop the batch
+                    out.append((k, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            frame = pd.DataFrame(out, columns=[key, "table_index", "row_index", "col_index", "column", "value", "error"])
+            yield frame.astype({c: "Int32" for c in ("table_index", "row_index", "col_index")})
 
     return tables.select(key, "html").mapInPandas(
-        convert, f"{key} {key_type}, row_index int, col_index int, column string, value string")
+        convert, f"{key} {key_type}, table_index int, row_index int, col_index int, column string, value string, error string")
 
 
 # --- Markdown --------------------------------------------------------------------------------------

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
 from tessella.plans.registry import fragment
-from tessella.session import spread
 
 HEADING_TOKENS = 4
 
@@ -19,6 +18,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df):
+    """Deal the small one-file test tables over the cores; a table that is read in as many parts is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents"))
 

@@ -44,8 +44,13 @@ TOP_SQL = """
 fragment("lexical", TOP_SQL.format("bm25", LIMIT), ("bm25",))
 
 
+def scored(spark, d):
+    """Every unit with a term of a question, before any cut."""
+    return rt.bm25(rt.query_terms(dv.questions(spark, d)), dv.units(spark, d))
+
+
 def lexical(spark, d, k: int = LIMIT):
-    return rt.top_k(rt.bm25(rt.query_terms(dv.questions(spark, d)), dv.units(spark, d)), k)
+    return rt.top_k(scored(spark, d), k)
 
 
 @query("r01_query_terms", "SELECT query_id, term FROM query_terms", ("query_terms",))
@@ -172,13 +177,14 @@ def _facets(spark, d):
     )).alias("x")).select("unit_id", "x.facet", "x.value")
 
 
-@query("r06_facet_scope", """
-  SELECT query_id, unit_id, score FROM lexical JOIN units USING (unit_id) JOIN questions USING (query_id)
-  WHERE unit_type = 'raw_text' AND lang = CASE WHEN length(query) > 150 THEN 'en' ELSE 'de' END
-""", ("lexical", "units", "questions"))
+# The scope holds for every unit; only then are the best kept.
+@query("r06_facet_scope", f"""
+  WITH f AS (SELECT query_id, unit_id, score FROM bm25 JOIN units USING (unit_id) JOIN questions USING (query_id)
+  WHERE unit_type = 'raw_text' AND lang = CASE WHEN length(query) > 150 THEN 'en' ELSE 'de' END)
+  {TOP_SQL.format("f", LIMIT)}
+""", ("bm25", "units", "questions"))
 def r06(spark, d):
-    c = lexical(spark, d).select("query_id", "unit_id", "score")
-    return rt.facet_scope(c, _facets(spark, d), _scope(spark, d))
+    return rt.top_k(rt.facet_scope(scored(spark, d), _facets(spark, d), _scope(spark, d)), LIMIT)
 
 
 # Chapters a question is limited to: the document titles that open with the question's first letter.
@@ -196,25 +202,27 @@ fragment("chapters", r"""
 """, ("segments", "questions"))
 
 
-@query("r07_section_filter", r"""
-  SELECT query_id, unit_id, score FROM lexical JOIN units USING (unit_id)
+@query("r07_section_filter", rf"""
+  WITH f AS (SELECT query_id, unit_id, score FROM bm25 JOIN units USING (unit_id)
   WHERE query_id NOT IN (SELECT query_id FROM chapters)
-     OR (query_id, lower(regexp_replace(title, '^\s+|\s+$', '', 'g'))) IN (SELECT query_id, section FROM chapters)
-""", ("lexical", "units", "chapters"))
+     OR (query_id, lower(regexp_replace(title, '^\s+|\s+$', '', 'g'))) IN (SELECT query_id, section FROM chapters))
+  {TOP_SQL.format("f", LIMIT)}
+""", ("bm25", "units", "chapters"))
 def r07(spark, d):
-    c = lexical(spark, d).select("query_id", "unit_id", "score")
-    return rt.section_filter(c, dv.units(spark, d).select("unit_id", F.col("title").alias("section")), _chapters(spark, d))
+    sections = dv.units(spark, d).select("unit_id", F.col("title").alias("section"))
+    return rt.top_k(rt.section_filter(scored(spark, d), sections, _chapters(spark, d)), LIMIT)
 
 
-@query("r08_relaxation_ladder", """
+@query("r08_relaxation_ladder", f"""
   WITH f AS (SELECT query_id, unit_id, score, CASE
       WHEN lang = 'de' AND unit_type = 'heading' THEN 0 WHEN lang = 'de' THEN 1 ELSE 2 END AS level
-    FROM lexical JOIN units USING (unit_id))
-  SELECT query_id, unit_id, score, level FROM f JOIN (SELECT query_id, min(level) AS level FROM f GROUP BY 1) USING (query_id, level)
-""", ("lexical", "units"))
+    FROM bm25 JOIN units USING (unit_id)),
+  g AS (SELECT query_id, unit_id, score, level FROM f JOIN (SELECT query_id, min(level) AS level FROM f GROUP BY 1) USING (query_id, level))
+  SELECT t.*, level FROM ({TOP_SQL.format("g", LIMIT)}) t JOIN g USING (query_id, unit_id)
+""", ("bm25", "units"))
 def r08(spark, d):
     u = dv.units(spark, d).select("unit_id", (F.col("lang") == "de").alias("in_scope"), (F.col("unit_type") == "heading").alias("in_section"))
-    return rt.relaxation(lexical(spark, d).join(u, "unit_id")).select("query_id", "unit_id", "score", "level")
+    return rt.top_k(rt.relaxation(scored(spark, d).join(u, "unit_id")), LIMIT).select("query_id", "unit_id", "score", "rank", "level")
 
 
 # One probe vector per label: the vector with the lowest id of that label.

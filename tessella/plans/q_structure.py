@@ -8,12 +8,11 @@ from tessella.functions import text as tx
 from tessella.operators import structure as st
 from tessella.plans import derived as dv
 from tessella.plans.registry import fragment, query
-from tessella.session import spread
 
 
 def _pages(spark, d):
     stem = F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1)
-    return spread(dv.table(spark, d, "pages")).select("page_id", stem.alias("title"), "html")
+    return dv.spread(dv.table(spark, d, "pages")).select("page_id", stem.alias("title"), "html")
 
 
 @query("d01_html_to_markdown")
@@ -35,9 +34,9 @@ def order_tables(spark, d):
 
 @query("d02_html_table_grid", """
   WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i FROM lineitem)
-  SELECT l_orderkey AS table_id, i AS row_index, 0 AS col_index, 'order' AS "column", l_orderkey::VARCHAR AS value FROM r
-  UNION ALL SELECT l_orderkey, i, 1, 'part', 'P' || l_partkey FROM r
-  UNION ALL SELECT l_orderkey, i, 2, 'quantity', l_quantity::INT::VARCHAR FROM r
+  SELECT l_orderkey AS table_id, 0 AS table_index, i AS row_index, 0 AS col_index, 'order' AS "column", l_orderkey::VARCHAR AS value, NULL::VARCHAR AS error FROM r
+  UNION ALL SELECT l_orderkey, 0, i, 1, 'part', 'P' || l_partkey, NULL FROM r
+  UNION ALL SELECT l_orderkey, 0, i, 2, 'quantity', l_quantity::INT::VARCHAR, NULL FROM r
 """)
 def d02(spark, d):
     return st.html_table_cells(order_tables(spark, d), "table_id")

@@ -27,29 +27,27 @@ def local_session(app: str = "tessella", cores: str = "*", shuffle_partitions: i
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of this machine only for a local master, else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
 
-    ``spark.checkpoint.dir`` is read from the session; a folder is chosen here only when it is
-    unset, which is the single-machine test case.
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder the cluster names (see ``shared_folder``)."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
     """True when ``df`` holds no more than ``rows`` rows; reads at most ``rows + 1`` of them."""
     return df.limit(rows + 1).count() <= rows
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table of very few files over the cores before heavy per-row text work.
-
-    A table with at least as many files as cores, which is every large one, is returned untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)

@@ -71,6 +71,15 @@ def test_table_spans(spark):
     assert {r["column"] for r in rows} == {"a", "b"}
 
 
+def test_every_table_and_bad_spans(spark):
+    html = "<p>x</p><table><tr><td colspan=100000000>a</td></tr></table><table><tr><td rowspan=2>b</td><td>c</td></tr></table>"
+    rows = st.html_table_cells(spark.createDataFrame([(1, html), (2, None), (3, "<div>" * 5000 + "<table><tr><td>d</td></tr></table>")], "id long, html string"), "id").collect()
+    assert {r["table_index"] for r in rows if r["id"] == 1} == {0, 1}
+    assert len([r for r in rows if r["table_index"] == 0 and r["id"] == 1]) == 1000
+    assert {(r["row_index"], r["col_index"]): r["value"] for r in rows if r["table_index"] == 1} == {(0, 0): "b", (0, 1): "c", (1, 0): "b", (1, 1): ""}
+    assert [r for r in rows if r["id"] == 3] and not [r for r in rows if r["id"] == 2]
+
+
 def test_markdown_blocks():
     text = "# Top\nintro\nmore\n\n- one\n  - sub\n- two\n\n```py\nx = 1\n# no\n```\n> quote\n> more\n\n|a|b|\n|-|-|\n|1|2|\n|3|\n\n<table><tr></tr></table>\n\n1. x\n2. y\n## Sub ##\nend"
     b = st.markdown_blocks(text)
