@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import settle, table
-from llm.setjoin import Threshold, matches, near_enough, sets_of, survey, verify
+from llm.setjoin import JOIN_WORDS, Threshold, matches, near_enough, sets_of, star_pairs, survey, verify, with_words
 from llm.words import Texts, slices
 
 #: Lines of at least so many distinct words get parities besides their 64-bit signature.
@@ -35,11 +35,11 @@ def removed_lines(texts: DataFrame, hundredths: int = 80) -> DataFrame:
 
     Lines are ordered by document id, then by number. A line goes when an earlier line, kept or not, has a word set of
     Jaccard similarity at least hundredths / 100. Lines of equal sets are folded to the first. Each line is first
-    checked against the earliest line that shares one of its prefix tokens; only lines that found no match so meet the
-    other earlier ones. Lines without words stay.
+    checked against one other, that which is the earliest for most of its prefix tokens; only lines that found no match
+    so meet the other earlier ones. Lines without words stay.
     """
     rule = Threshold(hundredths)
-    surveyed = survey(texts, line_items, LONG)
+    surveyed = survey(texts, line_items, LONG, 18)
     own = surveyed.where("slot is null and n > 0 and doc is not null").select("doc", "no", "s")
     first = settle(own.groupBy("s").agg(F.min(F.struct("doc", "no")).alias("f")))
     found = settle(matches(texts, line_items, surveyed, rule).join(first, "s"))
@@ -50,15 +50,14 @@ def removed_lines(texts: DataFrame, hundredths: int = 80) -> DataFrame:
         return verify(pairs, sets_of(texts, line_items, needed), rule)
 
     row = F.struct("f", "s", "n", "p", "g")
-    heads = found.groupBy("t").agg(F.min(row).alias("x"))
-    star = found.withColumn("y", row).join(heads, "t").where("x.s != y.s").where(rule.passes(F.col("x"), F.col("y")))
-    ends = F.col("x.s").alias("a"), F.col("y.s").alias("b"), (F.least("x.n", "y.n") >= LONG).alias("long")
-    star = settle(star.select(*ends).distinct())
+    star = settle(star_pairs(found, row, rule).select("a", "b", (F.least("na", "nb") >= LONG).alias("long")))
     decided = check(star).select(F.col("b").alias("s")).distinct()
-    x = found.select("t", row.alias("x"))
-    y = found.join(decided, "s", "left_anti").select("t", row.alias("y"))
-    rest = x.join(y, "t").where("x.f < y.f").where(rule.passes(F.col("x"), F.col("y")))
-    rest = rest.select(*ends).distinct().join(star, ["a", "b"], "left_anti")
+    wide = with_words(found, surveyed)
+    row = F.struct("f", "s", "n", "p", "g", "w")
+    x = wide.select("t", row.alias("x"))
+    y = wide.join(decided, "s", "left_anti").select("t", row.alias("y"))
+    rest = x.join(y, "t").where("x.f < y.f").where(rule.passes(F.col("x"), F.col("y"), JOIN_WORDS))
+    rest = rest.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), (F.least("x.n", "y.n") >= LONG).alias("long")).distinct().join(star, ["a", "b"], "left_anti")
     gone = decided.union(check(settle(rest)).select(F.col("b").alias("s"))).distinct().withColumn("gone", F.lit(True))
     fate = first.join(gone, "s", "left")
     return own.join(fate, "s").where("gone or f.doc != doc or f.no != no").groupBy("doc").agg(F.collect_set("no").alias("lines"))

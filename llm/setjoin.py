@@ -26,6 +26,7 @@ from llm.words import mix
 
 #: Rows compared at once.
 LIMIT = 1 << 18
+#: The counting table has 2 to the power of this many counts.
 SKETCH_BITS = 20
 #: Bits of a token; the rest of 64 holds its frequency class.
 TOKEN_BITS = 57
@@ -35,7 +36,8 @@ SLOTS = 16
 #: Members of a centre that are verified together.
 STAR = 256
 _MASK = np.uint64((1 << TOKEN_BITS) - 1)
-_ROW = np.dtype([("t", "<u4"), ("n", "<u4"), ("p", "<u4"), ("s", "<u8"), ("g", "<u8")])
+#: A packed prefix row: token, size, position (65,535 for any above, which only weakens a filter), set, signature.
+_ROW = np.dtype([("t", "<u4"), ("n", "<u4"), ("p", "<u2"), ("s", "<u8"), ("g", "<u8")])
 
 #: Cuts items out of an Arrow array of texts: yields (index of the text, number within it, tokens, bounds) of some items.
 Items = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
@@ -122,7 +124,7 @@ def parity_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def survey(texts: DataFrame, items: Items, parities_from: int) -> DataFrame:
+def survey(texts: DataFrame, items: Items, parities_from: int, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """One row per item (doc, no, s, n, bits) and, at the end of each task, its share of the counting table (slot, counts).
 
     ``texts`` has two columns, id and text. bits are the parities of items of at least
@@ -131,11 +133,11 @@ def survey(texts: DataFrame, items: Items, parities_from: int) -> DataFrame:
     fields = pa.schema([("doc", pa.int64()), ("no", pa.int32()), ("s", pa.int64()), ("n", pa.int32()), ("slot", pa.int32()), ("counts", pa.binary()), ("bits", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << sketch_bits, np.int64)
         for batch in batches:
             for at, no, tokens, bounds in items(batch.column(1)):
                 tokens, bounds = distinct(tokens & _MASK, bounds)
-                counts += np.bincount((tokens >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                counts += np.bincount((tokens >> np.uint64(TOKEN_BITS - sketch_bits)).astype(np.int64), minlength=len(counts))
                 k = len(at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(no, pa.int32()), pa.array(names(tokens, bounds).view(np.int64)),
                                                   pa.array(np.diff(bounds), pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
@@ -195,17 +197,30 @@ def frequencies(surveyed: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()])], ["slot", "counts"])
 
     got = surveyed.where("slot is not null").select("slot", "counts").repartition(SLOTS, "slot").mapInArrow(add, "slot int, counts binary").collect()
-    out = np.zeros((SLOTS, (1 << SKETCH_BITS) // SLOTS), np.int64)
-    for r in got:
-        out[r["slot"]] = np.frombuffer(r["counts"], np.int64)
-    return out.ravel()
+    if not got:
+        return np.zeros(1 << SKETCH_BITS, np.int64)
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(got, key=lambda r: r["slot"])])
 
 
 def ordered(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Tokens with their frequency class in the top bits, so that a rising order is rare-first."""
     level = np.minimum(127, 4 * np.log2(np.maximum(counts, 1))).astype(np.uint64)
     tokens = tokens & _MASK
-    return level[(tokens >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)] << np.uint64(TOKEN_BITS) | tokens
+    return level[(tokens >> np.uint64(TOKEN_BITS + 1 - len(counts).bit_length())).astype(np.int64)] << np.uint64(TOKEN_BITS) | tokens
+
+
+def _to_block(rows: np.ndarray) -> bytes:
+    """Rows as bytes, field after field, which compresses better than row after row."""
+    return b"".join(rows[k].tobytes() for k in _ROW.names)
+
+
+def _from_block(block: bytes) -> np.ndarray:
+    rows, at = np.zeros(len(block) // _ROW.itemsize, _ROW), 0
+    for k in _ROW.names:
+        kind = _ROW[k]
+        rows[k] = np.frombuffer(block, kind, len(rows), at)
+        at += len(rows) * kind.itemsize
+    return rows
 
 
 def _partnered(rows: np.ndarray, left: np.ndarray, rule: Threshold) -> np.ndarray:
@@ -245,7 +260,7 @@ def matches(texts: DataFrame, items: Items, surveyed: DataFrame, rule: Threshold
         rows, cell = rows[order], cell[order]
         ends = np.flatnonzero(np.append(cell[1:] != cell[:-1], True)) + 1
         starts = np.append(0, ends[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(cell[starts], pa.int32()), pa.array(ends - starts), pa.array([rows[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], ["cell", "rows", "block"])
+        return pa.RecordBatch.from_arrays([pa.array(cell[starts], pa.int32()), pa.array(ends - starts), pa.array([_to_block(rows[a:b]) for a, b in zip(starts, ends)], pa.binary())], ["cell", "rows", "block"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
@@ -259,7 +274,7 @@ def matches(texts: DataFrame, items: Items, surveyed: DataFrame, rule: Threshold
                 rows = np.zeros(int(own.sum()), _ROW)
                 where = where[own]
                 rows["t"] = mix(tokens[own]) >> np.uint64(32)
-                rows["n"], rows["p"], rows["s"], rows["g"] = n[where], p[own], names(tokens, bounds)[where], signatures(tokens, bounds)[where]
+                rows["n"], rows["p"], rows["s"], rows["g"] = n[where], np.minimum(p[own], 65535), names(tokens, bounds)[where], signatures(tokens, bounds)[where]
                 held.append(rows)
                 n_held += len(rows)
                 if n_held > LIMIT:
@@ -291,7 +306,7 @@ def matches(texts: DataFrame, items: Items, surveyed: DataFrame, rule: Threshold
             cell, i, j, mine = (table.column(c).to_numpy() for c in range(4))
             key = np.flatnonzero(np.append(True, (np.diff(cell) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)))
             for a, b in zip(key.tolist(), [*key[1:].tolist(), len(cell)]):
-                parts = [np.frombuffer(x, _ROW) for x in table.column(4).slice(a, b - a).to_pylist()]
+                parts = [_from_block(x) for x in table.column(4).slice(a, b - a).to_pylist()]
                 rows = np.concatenate(parts)
                 side = np.repeat(np.where(i[a] == j[a], 2, mine[a:b] == j[a]), [len(x) for x in parts])
                 order = np.lexsort((rows["s"], rows["n"], rows["t"]))
