@@ -42,7 +42,7 @@ PATTERN = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}[ -]\d{1,4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))"
+    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))"
     r"|(?P<key>(?<!\w)AKIA[0-9A-Z]{16}(?!\w))"
     r"|(?P<secret>(?<!\w)(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?!\w))"
     rf"|(?P<name>(?<!\w)(?P<title>{_TITLE})(?:\. ?| )(?P<first>{_NAME})(?: (?P<last>{_NAME}))?)")
