@@ -31,7 +31,7 @@ SKETCH_BITS = 20
 #: Bits of a token; the rest of 64 holds its frequency class.
 TOKEN_BITS = 57
 #: 64-bit words of the parities that prefix rows are joined with.
-JOIN_WORDS = 8
+JOIN_WORDS = 16
 SLOTS = 16
 #: Members of a centre that are verified together.
 STAR = 256
@@ -101,19 +101,19 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def parities(tokens: np.ndarray) -> bytes:
-    """Parities of a set by the low bits of its tokens, four or more for each token, as bytes."""
-    bits = 64
+    """Parities of a set by the low bits of its tokens, four or more for each token and JOIN_WORDS words at least, as bytes."""
+    bits = 64 * JOIN_WORDS
     while bits < 4 * len(tokens):
         bits *= 2
     return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
-def join_words(bits: bytes) -> list[int] | None:
-    """Parities folded to JOIN_WORDS words; none for a set of fewer bits."""
+def join_words(bits: bytes) -> list[int]:
+    """Parities folded to JOIN_WORDS words."""
     x = np.frombuffer(bits, np.uint8)
     while len(x) > 8 * JOIN_WORDS:
         x = x[:len(x) // 2] ^ x[len(x) // 2:]
-    return np.frombuffer(x.tobytes(), np.int64).tolist() if len(x) == 8 * JOIN_WORDS else None
+    return np.frombuffer(x.tobytes(), np.int64).tolist()
 
 
 def parity_distance(a: bytes, b: bytes) -> int:

@@ -15,6 +15,8 @@ from llm.setjoin import JOIN_WORDS, Threshold, matches, near_enough, sets_of, st
 from llm.words import Texts, mix, slices, spans
 
 WORDS = 5
+#: Rounds in which components are checked against each other by one pair each, before all their pairs are.
+MERGES = 2
 
 
 def shingle_items(words: int = WORDS):
@@ -37,6 +39,12 @@ def shingle_items(words: int = WORDS):
     return items
 
 
+def _placed(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Prefix rows with the component c of their set."""
+    classes = components(links).withColumnRenamed("id", "s")
+    return settle(found.join(classes, "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component"))
+
+
 def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of every row.
 
@@ -53,9 +61,9 @@ def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rule, items = Threshold(hundredths), shingle_items(words)
     surveyed = survey(texts, items, parities_from=1)
-    own = surveyed.where("slot is null").select("doc", "no", "s", "n")
+    rows = surveyed.where("slot is null").select("doc", "no", "s", "n")
     found = matches(texts, items, surveyed, rule)
-    first = own.where("n > 0 and doc is not null").groupBy("s").agg(F.min("doc").alias("doc"), F.lit(0).alias("no"))
+    first = rows.where("n > 0 and doc is not null").groupBy("s").agg(F.min("doc").alias("doc"), F.lit(0).alias("no"))
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = settle(near_enough(pairs, surveyed, rule))
@@ -64,8 +72,15 @@ def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) ->
 
     star = settle(star_pairs(found, F.struct("n", "s", "p", "g"), rule).select("a", "b"))
     links = check(star)
-    classes = components(links).withColumnRenamed("id", "s")
-    placed = found.join(classes, "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component")
+    for _ in range(MERGES):
+        placed = _placed(found, links)
+        own = placed.groupBy("t", "c").agg(F.min(F.struct("n", "s", "p", "g", "c")).alias("y"))
+        heads = own.groupBy("t").agg(F.min("y").alias("x"))
+        met = own.join(heads, "t").where("x.c != y.c").where(rule.passes(F.col("x"), F.col("y")))
+        shared = met.groupBy("c", F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.count("*").alias("k"))
+        pairs = settle(shared.groupBy("c").agg(F.max(F.struct("k", "a", "b")).alias("m")).select("m.a", "m.b").join(star, ["a", "b"], "left_anti"))
+        links, star = links.union(check(pairs)), star.union(pairs)
+    placed = _placed(found, links)
     mixed = placed.groupBy("t").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("t")
     side = with_words(placed.join(mixed, "t"), surveyed)
     x = side.select("t", F.struct("n", "s", "p", "g", "c", "w").alias("x"))
@@ -73,7 +88,7 @@ def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) ->
     cross = x.join(y, "t").where("x.c != y.c and (x.n < y.n or (x.n = y.n and x.s < y.s))").where(rule.passes(F.col("x"), F.col("y"), JOIN_WORDS))
     more = check(cross.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
     classes = components(links.union(more)).withColumnRenamed("id", "s")
-    named = own.join(classes, "s", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "s")))
+    named = rows.join(classes, "s", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "s")))
     least = named.where("c is not null").groupBy("c").agg(F.min("doc").alias("component_id"))
     return named.join(least, "c", "left").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
