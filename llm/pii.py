@@ -44,10 +44,11 @@ PATTERN = re.compile(
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))"
     r"|(?P<key>(?<!\w)AKIA[0-9A-Z]{16}(?!\w))"
-    r"|(?P<secret>(?<!\w)(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?!\w))"
+    r"|(?P<secret>(?<!\w)(?=[a-f]*[0-9])(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?!\w))"
     rf"|(?P<name>(?<!\w)(?P<title>{_TITLE})(?:\. ?| )(?P<first>{_NAME})(?: (?P<last>{_NAME}))?)")
 #: A quick look at whether a text can hold an entity at all, in the JVM.
-MAY_HOLD = rf"[0-9@]|[0-9a-f]{{32}}|(?<!\p{{L}})(?:{_TITLE})(?:\. ?| )\p{{Lu}}|(?:господин|госпожа)"
+MAY_HOLD = "[0-9@]|AKIA|[{}](?:{})[. ]|{}".format(
+    "".join(sorted({t[0] for t in TITLES if t[0].isascii()})), "|".join(sorted({t[1:] for t in TITLES if t[0].isascii()})), "|".join(t for t in TITLES if not t[0].isascii()))
 
 
 def _script(word: str) -> str:
