@@ -127,10 +127,11 @@ def parity_distance(a: bytes, b: bytes) -> int:
 def survey(texts: DataFrame, items: Items, parities_from: int, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """One row per item (doc, no, s, n, bits) and, at the end of each task, its share of the counting table (slot, counts).
 
-    ``texts`` has two columns, id and text. bits are the parities of items of at least
-    parities_from tokens. Written once, as every later step reads it.
+    ``texts`` has two columns, id and text; more columns, of whole numbers, are handed on. bits are the parities of
+    items of at least parities_from tokens. Written once, as every later step reads it.
     """
-    fields = pa.schema([("doc", pa.int64()), ("no", pa.int32()), ("s", pa.int64()), ("n", pa.int32()), ("slot", pa.int32()), ("counts", pa.binary()), ("bits", pa.binary())])
+    more = texts.columns[2:]
+    fields = pa.schema([("doc", pa.int64()), ("no", pa.int32()), ("s", pa.int64()), ("n", pa.int32()), ("slot", pa.int32()), ("counts", pa.binary()), ("bits", pa.binary()), *((c, pa.int64()) for c in more)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << sketch_bits, np.int64)
@@ -141,11 +142,12 @@ def survey(texts: DataFrame, items: Items, parities_from: int, sketch_bits: int
                 k = len(at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(no, pa.int32()), pa.array(names(tokens, bounds).view(np.int64)),
                                                   pa.array(np.diff(bounds), pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
-                                                  pa.array([parities(tokens[a:b]) if b - a >= parities_from else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], schema=fields)
+                                                  pa.array([parities(tokens[a:b]) if b - a >= parities_from else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary()),
+                                                  *(c.take(pa.array(at)) for c in batch.columns[2:])], schema=fields)
         parts = [p.astype(np.uint32).tobytes() for p in np.split(counts, SLOTS)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(SLOTS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32())] + [pa.array(range(SLOTS), pa.int32()), pa.array(parts), pa.nulls(SLOTS, pa.binary())], schema=fields)
+        yield pa.RecordBatch.from_arrays([pa.nulls(SLOTS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32())] + [pa.array(range(SLOTS), pa.int32()), pa.array(parts), pa.nulls(SLOTS, pa.binary()), *(pa.nulls(SLOTS, pa.int64()) for _ in more)], schema=fields)
 
-    return settle(texts.mapInArrow(read, "doc long, no int, s long, n int, slot int, counts binary, bits binary"))
+    return settle(texts.mapInArrow(read, "doc long, no int, s long, n int, slot int, counts binary, bits binary" + "".join(f", {c} long" for c in more)))
 
 
 def with_words(rows: DataFrame, surveyed: DataFrame) -> DataFrame:
@@ -352,14 +354,18 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, 2):
-            a, role, s = (table.column(c).to_numpy() for c in (0, 2, 3))
+            a, part, role, s = (table.column(c).to_numpy() for c in range(4))
             raw = table.column(4)
             centre, steps, out = None, None, []
             for k in range(len(a)):
+                if k and (a[k], part[k]) != (a[k - 1], part[k - 1]):
+                    centre = None
                 if role[k] == 0:
                     centre = np.frombuffer(raw[k].as_py(), np.uint64)
                     steps = np.append(0, np.arange(1, 8) * len(centre) // 8)
                     continue
+                if centre is None:
+                    raise ValueError(f"no tokens of the set {a[k]}")
                 other = np.frombuffer(raw[k].as_py(), np.uint64)
                 need = rule.overlap(len(centre), len(other))
                 # Suffix filter: between pivots of one set the counts of both must not differ by too much in sum.

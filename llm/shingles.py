@@ -58,12 +58,15 @@ def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) ->
     ``docs`` needs doc_id and text; other columns are ignored. Null or empty texts have no shingles and link with
     nothing. Rows without doc_id link by their text and get the smallest doc_id of their component. Repeated rows stay.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # A set's tokens are cut again out of one row that has it. Rows of one hash do no harm: both are cut, and the set is told by its name.
+    keyed = own.withColumn("row", F.xxhash64("doc_id", "text"))
+    texts = keyed.select("row", "text")
     rule, items = Threshold(hundredths), shingle_items(words)
-    surveyed = survey(texts, items, parities_from=1)
+    surveyed = survey(keyed, items, parities_from=1)
     rows = surveyed.where("slot is null").select("doc", "no", "s", "n")
     found = matches(texts, items, surveyed, rule)
-    first = rows.where("n > 0 and doc is not null").groupBy("s").agg(F.min("doc").alias("doc"), F.lit(0).alias("no"))
+    first = surveyed.where("n > 0").groupBy("s").agg(F.min("row").alias("doc"), F.lit(0).alias("no"))
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = settle(near_enough(pairs, surveyed, rule))

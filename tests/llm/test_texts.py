@@ -72,6 +72,24 @@ def test_near_documents(spark, docs, empty, corpus):
     assert shingles.near_documents(empty).count() == 0
 
 
+def test_sets_of_rows_without_id_link(spark):
+    # A row without id bridges two documents that are not near each other; it is centre or member as its hash falls.
+    rng = random.Random(8)
+    rows, want = [], collections.Counter()
+    for k in range(12):
+        base = [f"w{k}x{rng.randrange(10**6)}" for _ in range(200)]
+        ends = [list(base), list(base)]
+        for e, at in zip(ends, (10, 110)):
+            for i in range(3):
+                e[at + 20 * i] = f"new{at}"
+        assert similar(shingle_set(" ".join(base)), shingle_set(" ".join(ends[0]))) and not similar(*(shingle_set(" ".join(e)) for e in ends))
+        for i, words in ((2 * k, ends[0]), (None, base), (2 * k + 1, ends[1])):
+            rows.append((i, " ".join(words)))
+            want[i, 196, 2 * k] += 1
+    got = rows_of(shingles.near_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "doc_id", "n_shingles", "component_id")
+    assert got == want
+
+
 def test_cells_above_the_limit_are_compared_in_blocks(spark, corpus, monkeypatch):
     texts = spark.createDataFrame([(i, t) for i, t in corpus], "doc_id long, text string").repartition(5)
     whole = rows_of(shingles.near_documents(texts), "doc_id", "n_shingles", "component_id")
