@@ -124,8 +124,14 @@ def nearest_vectors(df: DataFrame, query: Column, k: int = 20, lists: int | None
     other lists among its nearest ``probe_share`` with that floor. Lists are cut in blocks of about BLOCK vectors
     and the queries of a block in runs, so a large list is many tasks. Survivors get the exact inner product of the
     original vectors. Ties go to the smaller id; a vector is not its own neighbour. Empty tables give no rows.
+
+    Rows repeated with the same id and vector count once. An id with several vectors is asked and found by each of
+    them and stands once, with its best score. So each query has k different neighbours, where the table has them.
     """
-    every = settle(valid_vectors(df, id_col, vec_col))
+    every = settle(valid_vectors(df, id_col, vec_col).dropDuplicates(["id", "key"]))
+    # Vectors that hold k + 1 different ids at least, as an id has no more than ``most`` vectors.
+    most = every.groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    enough = (k + 1) * most
     at_most = Window.partitionBy("key").orderBy("id")
     # Of equal vectors no more than the k + 1 smallest ids can be among a query's k nearest others.
     firsts = every.select("key", "id", "v", F.row_number().over(at_most).alias("r")).where(F.col("r") <= k + 1)
@@ -138,7 +144,7 @@ def nearest_vectors(df: DataFrame, query: Column, k: int = 20, lists: int | None
     centres = fit_centres(folded, lists, sample)
     lists, probes = len(centres), max(1, int(np.ceil(probe_share * len(centres))))
     turn = rotation(centres.shape[1])
-    wanted = every.where(query).select("key", F.col("id").alias("query_id"))
+    wanted = every.where(query).select("key", F.col("id").alias("query_id")).distinct()
     asked = wanted.select("key").distinct()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,27 +186,27 @@ def nearest_vectors(df: DataFrame, query: Column, k: int = 20, lists: int | None
         for a in range(0, len(left), BLOCK):
             part = left.iloc[a:a + BLOCK]
             q = unpack(part["v"].tolist())
-            i, j, _ = scan_block(q @ turn, x @ turn, part["floor"].to_numpy(), k)
+            i, j, _ = scan_block(q @ turn, x @ turn, part["floor"].to_numpy(), enough - 1)
             out.append(pd.DataFrame({"key": part["key"].to_numpy()[i], "score": inner(q[i], x[j]), "ids": right["ids"].to_numpy()[j]}))
         return pd.concat(out)
 
     def found(probes_df: DataFrame) -> DataFrame:
         hits = probes_df.groupBy("cell").cogroup(cells.groupBy("cell")).applyInPandas(search, "key binary, score double, ids array<long>")
         best = Window.partitionBy("key").orderBy(F.desc("score"), F.col("ids")[0])
-        return hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+        return hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= enough).drop("r")
 
     ask = folded.join(asked, "key", "left_semi").select("key", "v", F.lit(float("-inf")).alias("floor"))
     near = settle(found(ask.mapInArrow(probing(0, 1), "cell string, key binary, v binary, floor double")))
-    floor = near.groupBy("key").agg(F.sum(F.size("ids")).alias("n"), F.min("score").alias("low")).select("key", F.when(F.col("n") > k, F.col("low")).alias("low"))
+    floor = near.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("n"), F.min("score").alias("low")).select("key", F.when(F.col("n") > k, F.col("low")).alias("low"))
     again = ask.drop("floor").join(floor, "key", "left").select("key", "v", F.coalesce("low", F.lit(float("-inf"))).alias("floor"))
     hits = near
     if probes > 1:
         hits = near.unionByName(found(again.mapInArrow(probing(1, probes), "cell string, key binary, v binary, floor double")))
-    each = hits.select("key", "score", F.explode("ids").alias("vec_id"))
+    each = hits.select("key", "score", F.explode("ids").alias("vec_id")).groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     top = each.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
-    named = wanted.join(top, "key").where("query_id != vec_id")
+    named = wanted.join(top, "key").where("query_id != vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     # A query's own id is no neighbour: the places behind it move up.
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("r"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return named.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

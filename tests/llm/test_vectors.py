@@ -58,6 +58,21 @@ def test_equal_vectors_tie_to_smaller_ids(spark):
     assert vectors.nearest_vectors(frame.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    rows += [rows[0]] * 29 + [rows[20]] + [r for r in rows[1:15] for _ in range(9)]  # query rows 30 times and twice, candidates 10 times
+    rows += [(40, rng.normal(size=4).tolist())] + [(50 + i, (np.array(rows[0][1]) * (2 + j)).tolist()) for i in range(3) for j in range(4)]  # ids with several vectors
+    by_id = collections.defaultdict(list)
+    for i, v in rows:
+        by_id[i].append(np.array(v))
+    got = vectors.nearest_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, k=5, lists=2, probe_share=1.0).collect()
+    for q in (0, 20, 40):
+        best = sorted((-max(float(a @ b) for a in by_id[q] for b in by_id[i]), i) for i in by_id if i != q)[:5]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [(n, i) for n, i, _ in mine] == [(n + 1, i) for n, (_, i) in enumerate(best)] and [s for *_, s in mine] == pytest.approx([-s for s, _ in best])
+
+
 def test_scan_abandons_only_far_pairs():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 64))
