@@ -1,7 +1,9 @@
 """Personal data: detected entities get keyed surrogates of the same type, format, script and gender.
 
 An entity is known by its type and normal form (digits of a number, lower case of an address, a name's parts), so its
-mentions in any spelling and document get one surrogate. Surrogates are drawn from a keyed hash and follow the form: digits
+mentions in any spelling and document get one surrogate. Names are detected after a title (TITLES), each part of two letters or more; the parts of such
+a name are then found in the rest of its document too, as capitalised whole words without a title. A name that carries no
+title anywhere in its document is not detected. Surrogates are drawn from a keyed hash and follow the form: digits
 for digits, letters for letters, check digits that hold where they held, names of the gender and script of the name. A
 draw is checked against all entities of its type and all surrogates given so far; the few that collide draw again, so
 different entities stay different and no surrogate is a real entity of the corpus.
@@ -36,6 +38,7 @@ SYLLABLES = {
 }
 _TITLE = "|".join(sorted(TITLES, key=lambda t: (-len(t), t)))
 _NAME = r"[^\W\d_][^\W\d_'’-]+"
+_WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
@@ -64,9 +67,36 @@ def luhn(digits: str) -> bool:
     return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def _bare_names(text: str, found: list[tuple[int, int, str, str]], parts: dict[str, str]) -> list[tuple[int, int, str, str]]:
+    """Mentions of detected name parts outside of ``found``: capitalised whole words, hyphens and apostrophes end one."""
+    ends = [0, *(e[1] for e in found)]
+    rest = "\n".join(text[a:b] for a, b in zip(ends, [*(e[0] for e in found), len(text)])).casefold()
+    if not any(p in rest for p in parts):
+        return []
+    out, k = [], 0
+    for m in _WORD.finditer(text):
+        a, b, word = *m.span(), m.group()
+        kind = parts.get(word.casefold())
+        if kind is None or not (word[0].isupper() or _script(word) == "han"):
+            continue
+        while k < len(found) and found[k][1] <= a:
+            k += 1
+        if k == len(found) or found[k][0] >= b:
+            out.append((a, b, kind, word.casefold()))
+    return out
+
+
 def find_entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, normal form) of all entities, from left to right, none overlapping. Names give one per part."""
-    out = []
+    """(start, end, type, normal form) of all entities, from left to right, none overlapping. Names give one per part.
+
+    A part detected after titles as of several types has the first of them where it stands alone.
+    """
+    out, parts = [], {}
+
+    def name(a: int, kind: str, word: str) -> None:
+        parts.setdefault(word.casefold(), kind)
+        out.append((a, a + len(word), kind, word.casefold()))
+
     for m in PATTERN.finditer(text):
         kind, own = m.lastgroup, m.group()
         if kind in ("title", "first", "last") or m.group("name"):
@@ -74,10 +104,10 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
             if not first[0].isupper() and _script(first) != "han":
                 continue
             if last and (last[0].isupper() or _script(last) == "han"):
-                out.append((*m.span("first"), f"given_{gender}_{_script(first)}", first.casefold()))
-                out.append((*m.span("last"), f"surname_{_script(last)}", last.casefold()))
+                name(m.start("first"), f"given_{gender}_{_script(first)}", first)
+                name(m.start("last"), f"surname_{_script(last)}", last)
             else:
-                out.append((*m.span("first"), f"surname_{_script(first)}", first.casefold()))
+                name(m.start("first"), f"surname_{_script(first)}", first)
         elif kind == "email":
             out.append((*m.span(), kind, own.lower()))
         elif kind in ("phone", "card", "ssn"):
@@ -88,7 +118,7 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
             out.append((*m.span(), kind, own.replace(" ", "")))
         else:
             out.append((*m.span(), kind, own))
-    return out
+    return sorted(out + _bare_names(text, out, parts)) if parts else out
 
 
 class _Draw:

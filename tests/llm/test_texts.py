@@ -366,6 +366,16 @@ def test_surrogates(spark, docs, empty):
     assert pii.replace_entities(docs).count() == docs.count() and pii.replace_entities(empty).count() == 0
 
 
+def test_names_without_title_get_the_surrogate_of_their_document(spark):
+    texts = [(1, "Smith came. Mr. John Smith’s car: Smith-led, SMITH's; John left, a smith and Smithson stayed."), (2, "Smith alone."), (3, "Mrs. Brown. Brown, госпожа Анна Иванова; Анна.")]
+    new = {r["doc_id"]: r for r in pii.replace_entities(spark.createDataFrame(texts, "doc_id long, text string"), "k").collect()}
+    own = {(s["kind"], s["surrogate"].casefold()) for s in new[1]["spans"]}
+    assert len(own) == 2 and [texts[0][1][s["start"]:s["end"]] for s in new[1]["spans"]] == ["Smith", "John", "Smith", "Smith", "SMITH", "John"]
+    given, last = new[1]["spans"][1]["surrogate"], new[1]["spans"][0]["surrogate"]
+    assert new[1]["text"] == f"{last} came. Mr. {given} {last}’s car: {last}-led, {last.upper()}'s; {given} left, a smith and Smithson stayed."
+    assert new[2]["text"] == texts[1][1] and new[3]["n_entities"] == 5 and not re.search("Brown|Анна", new[3]["text"])
+
+
 def test_colliding_draws_are_drawn_again(spark, monkeypatch):
     # A form with 9 members for the last part: many collisions, all resolved.
     entities = spark.createDataFrame([("ip", f"{a}.{b}.1.1") for a in range(1, 5) for b in range(1, 10)], "kind string, norm string")
