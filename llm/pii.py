@@ -49,8 +49,8 @@ PATTERN = re.compile(
     r"|(?P<key>(?<!\w)AKIA[0-9A-Z]{16}(?!\w))"
     r"|(?P<secret>(?<!\w)(?=[a-f]*[0-9])(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?!\w))"
     rf"|(?P<name>(?<!\w)(?P<title>{_TITLE})(?:\. ?| )(?P<first>{_NAME})(?: (?P<last>{_NAME}))?)")
-#: A quick look at whether a text can hold an entity at all, in the JVM.
-MAY_HOLD = "[0-9@]|AKIA|[{}](?:{})[. ]|{}".format(
+#: A quick look at whether a text can hold an entity at all, in the JVM. Python's digits may be unassigned in an older JVM's Unicode.
+MAY_HOLD = r"[\p{{Nd}}\p{{Cn}}@]|AKIA|[{}](?:{})[. ]|{}".format(
     "".join(sorted({t[0] for t in TITLES if t[0].isascii()})), "|".join(sorted({t[1:] for t in TITLES if t[0].isascii()})), "|".join(t for t in TITLES if not t[0].isascii()))
 
 

@@ -376,6 +376,16 @@ def test_names_without_title_get_the_surrogate_of_their_document(spark):
     assert new[2]["text"] == texts[1][1] and new[3]["n_entities"] == 5 and not re.search("Brown|Анна", new[3]["text"])
 
 
+def test_every_text_with_an_entity_passes_the_filter(spark):
+    digits = [chr(i) for i in range(0x110000) if chr(i).isdecimal()]
+    texts = [f"call +{d * 2} {d * 3} {d * 3} {d * 4} now" for d in digits] + ["a@b.cd", "AKIA" + "A" * 16, *(f"{t} Abc" for t in pii.TITLES), *(f"{t}. Abc" for t in pii.TITLES)]
+    assert all(pii.find_entities(t) for t in texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in frame.where(~frame["text"].rlike(pii.MAY_HOLD)).collect()] == []
+    full = spark.createDataFrame([(1, "call +８１ ９０１ ２３４ ５６７８ now")], "doc_id long, text string")
+    assert pii.replace_entities(full).first()["n_entities"] == 1
+
+
 def test_colliding_draws_are_drawn_again(spark, monkeypatch):
     # A form with 9 members for the last part: many collisions, all resolved.
     entities = spark.createDataFrame([("ip", f"{a}.{b}.1.1") for a in range(1, 5) for b in range(1, 10)], "kind string, norm string")
