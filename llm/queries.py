@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from llm.alignment import op13_alignment
 from llm.licenses import ORACLE as LICENSES_SQL
 from llm.licenses import op5_licenses
 from llm.lines import op3_lines
@@ -13,5 +14,5 @@ from llm.shingles import op8_near_documents
 from llm.toxicity import op4_toxicity
 from llm.vectors import op1_nearest, op7_near_vectors
 
-QUERIES = {q.__name__: q for q in (op1_nearest, op2_surrogates, op3_lines, op4_toxicity, op5_licenses, op6_pieces, op7_near_vectors, op8_near_documents, op9_passages, op10_packing)}
+QUERIES = {q.__name__: q for q in (op1_nearest, op2_surrogates, op3_lines, op4_toxicity, op5_licenses, op6_pieces, op7_near_vectors, op8_near_documents, op9_passages, op10_packing, op13_alignment)}
 ORACLES: dict[str, str] = {"op5_licenses": LICENSES_SQL}
