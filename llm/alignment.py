@@ -219,19 +219,19 @@ class Aligned:
         return got >> 32, got & 0xFFFFFFFF, n
 
 
-def _slices(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[str | None], int]]:
-    """Runs of rows of about SLICE_BYTES characters; a longer text is alone."""
+def _slices(ids: list, texts: list[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[list, list[str | None], int]]:
+    """Runs of rows of about ``most`` characters; a longer text ends its run."""
     i, size = 0, 0
     for j, t in enumerate(texts):
         size += len(t or "")
-        if size >= SLICE_BYTES:
+        if size >= most:
             yield ids[i:j + 1], texts[i:j + 1], size
             i, size = j + 1, 0
     if i < len(ids):
         yield ids[i:], texts[i:], size
 
 
-def _settled_runs(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
+def _settled_runs(docs: DataFrame, ranks: str, pieces: str, run_bytes: int) -> DataFrame:
     """Runs of aligned documents: distinct pairs with their links in the header, counts and pairs by document in the slices."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,14 +250,14 @@ def _settled_runs(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
             return ex.run_rows(next(numbers), ex.pack(keys=keys.astype(np.uint64), sums=total), packed)
 
         for batch in batches:
-            for ids, texts, n_chars in _slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts, n_chars in _slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), min(run_bytes, SLICE_BYTES)):
                 aligned = Aligned(vocabulary, texts)
                 text, p, n = aligned.pairs()
                 links = np.bincount(text, n, len(texts)).astype(np.int64)
                 held.append((ids, aligned.counts() | {"n_links": links}, aligned.group_hashes(),
                              np.searchsorted(text, np.arange(len(texts) + 1)), p, n))
                 size += n_chars
-                if size >= RUN_BYTES:
+                if size >= run_bytes:
                     yield close()
                     held, size = [], 0
         if held:
@@ -288,7 +288,7 @@ def best_counts(counts: DataFrame, n_b: int) -> np.ndarray:
     return best
 
 
-def align_documents(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
+def align_documents(docs: DataFrame, ranks: str, pieces: str, run_bytes: int = RUN_BYTES) -> DataFrame:
     """Alignment figures of every document.
 
     Columns: doc_id, n_a, n_b (tokens), n_groups, n_links (overlapping token pairs), n_best (links whose id pair is the
@@ -297,7 +297,7 @@ def align_documents(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
     one that a tokenizer does not give back byte for byte, has no tokens: zeros and ''. Repeated rows stay and count as
     often as they occur; rows without doc_id stay. An empty table gives an empty result.
     """
-    runs = _settled_runs(docs, ranks, pieces)
+    runs = _settled_runs(docs, ranks, pieces, run_bytes)
     bits = ex.shard_bits(runs)
     n_b = pair(ranks, pieces).n_b
     counts = pair_counts(runs, bits)

@@ -138,7 +138,11 @@ def _added(pending: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 
 
 def sum_by_key(sent: DataFrame, dtype: str, width: int = 1) -> DataFrame:
-    """The table of all keys: (shard, run, keys, sums) with a part number as run. Sums are rows of ``width`` numbers."""
+    """The table of all keys: (shard, run, keys, sums) with a part number as run. Sums are rows of ``width`` numbers.
+
+    Fractions are added up in double precision and written as ``dtype``.
+    """
+    wide = np.float64 if np.dtype(dtype).kind == "f" else np.dtype(dtype)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, pending, size, folded = None, [], 0, 0
@@ -146,14 +150,14 @@ def sum_by_key(sent: DataFrame, dtype: str, width: int = 1) -> DataFrame:
         def table() -> Iterator[pa.RecordBatch]:
             keys, sums = _added(pending)
             for part, i in enumerate(range(0, len(keys), PART_KEYS)):
-                yield rows(_SENT, shard=[shard], run=[part], keys=[keys[i:i + PART_KEYS].tobytes()], sums=[sums[i:i + PART_KEYS].tobytes()])
+                yield rows(_SENT, shard=[shard], run=[part], keys=[keys[i:i + PART_KEYS].tobytes()], sums=[sums[i:i + PART_KEYS].astype(dtype).tobytes()])
 
         for s, _, keys, sums in _records(batches):
             if s != shard and pending:
                 yield from table()
                 pending, size, folded = [], 0, 0
             shard = s
-            pending.append((np.frombuffer(keys, np.uint64), np.frombuffer(sums, dtype).reshape(-1, width)))
+            pending.append((np.frombuffer(keys, np.uint64), np.frombuffer(sums, dtype).reshape(-1, width).astype(wide)))
             size += len(pending[-1][0])
             if size > 2 * folded + FOLD:
                 pending = [_added(pending)]

@@ -58,11 +58,11 @@ class Texts:
     index of the first word of text i, ``first[-1]`` the number of all words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, lines: bool = False):
-        """data: bytes of the texts; offsets: their bounds, from 0. lines: cut at line feeds too, ``line`` then numbers the lines."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = _SPACE):
+        """data: bytes of the texts; offsets: their bounds, from 0; breaks: which byte values stand in no word."""
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
-        space = _SPACE[data]
+        space = breaks[data]
         bounds = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
         edge = np.ones(len(data) + 1, bool)
         edge[1:-1] = space[:-1]

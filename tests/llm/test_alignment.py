@@ -82,11 +82,8 @@ def test_odd_texts(spark):
     assert got(align_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), RANKS, PIECES)) == sorted(plain(rows), key=key)
 
 
-def test_small_runs_and_slices_change_nothing(docs, monkeypatch):
-    want = got(align_documents(docs, RANKS, PIECES))
-    monkeypatch.setattr(alignment, "RUN_BYTES", 3000)
-    monkeypatch.setattr(alignment, "SLICE_BYTES", 700)
-    assert got(align_documents(docs, RANKS, PIECES)) == want
+def test_small_runs_change_nothing(docs):
+    assert got(align_documents(docs, RANKS, PIECES, run_bytes=2000)) == got(align_documents(docs, RANKS, PIECES))
 
 
 def test_empty(empty):
