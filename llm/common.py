@@ -46,6 +46,12 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the shuffle files of jobs that are over deleted now, before a loop's next round writes as many again."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(df: DataFrame) -> None:
     """Delete a settled table that nothing reads any more."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_path)
@@ -57,6 +63,11 @@ def bucket(n: int, *cols: str | Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Tells rows of one doc_id apart by their text."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
+
+
 def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
