@@ -3,13 +3,14 @@
 Documents lie in shards, a bounded number per shard; a shard's index never leaves its task. It has one posting list for
 each term of the items. A list longer than a block is clustered: its documents go to the most similar of some of its own
 documents, by inner products of sketched impact vectors, and each cluster is cut in blocks. A block's summary is the
-coordinatewise maximum of its documents' impact vectors over all terms of the items, so the sum of a summary over an item's terms bounds the
-score of every document of the block. An item visits the blocks of its terms' lists by falling bound. Blocks whose bound
-is below the item's k-th best score so far are skipped; that score is carried through all shards of a task. Clustering and
-order decide speed only: a skipped block holds no document that could rank.
-
-Corpus statistics cover all documents; a first pass counts them while it writes the shards' term counts. Items come in blocks of at most ``ITEM_TERMS`` terms, which is
-what every task gets of them and what the driver holds.
+coordinatewise maximum of its documents' impact vectors, over the terms of all items that visit the list. So the sum of a
+summary over an item's terms bounds the score of every document of the block. Lists are visited from the weightiest term
+to the lightest, a list's blocks by falling bound. Blocks whose bound is below the item's k-th best score so far are
+skipped; that score is carried through all lists and shards of a task. Clustering and order decide speed only: a skipped
+block holds no document that could rank.
+
+Corpus statistics cover all documents; a first pass counts them while it writes the shards' term counts. Items come in
+blocks of at most ``ITEM_TERMS`` terms, which is what every task gets of them and what the driver holds.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ from llm.words import Texts, slices
 K = 10
 BLOCK = 32
 SHARD_DOCS = 4096
-ITEM_TERMS = 1 << 18
+#: Documents times terms of a shard at most.
+SHARD_CELLS = 1 << 24
+ITEM_TERMS = 1 << 14
 SKETCH = 32
 CENTRES = 64
-#: Blocks visited before the k-th best score is looked at again.
-STEP = 4
+#: Documents scored before the k-th best score is looked at again.
+STEP = 256
 #: Bytes that no term holds: ASCII other than digits and letters.
 BREAKS = np.zeros(256, bool)
 BREAKS[:128] = [not chr(b).isalnum() for b in range(128)]
@@ -122,110 +125,6 @@ def corpus(counts: DataFrame, items: Items) -> Corpus:
     return Corpus(n, length, np.floor(1000 * np.log((2 * n + 2) / (2 * df + 1))).astype(np.int64))
 
 
-def impacts(tf: np.ndarray, weights: np.ndarray, m: np.ndarray) -> np.ndarray:
-    tf = tf.astype(np.int64)
-    return weights * (1_000_000_000 * tf // (1000 * tf + 8 * m))
-
-
-def _rows_of(ptr: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of some rows, end to end, and their bounds."""
-    size = ptr[which + 1] - ptr[which]
-    bounds = np.append(0, np.cumsum(size))
-    return np.repeat(ptr[which] - bounds[:-1], size) + np.arange(bounds[-1]), bounds
-
-
-class Shard:
-    """Documents as impact vectors, and their posting lists in blocks with summaries."""
-
-    def __init__(self, ptr: np.ndarray, term: np.ndarray, impact: np.ndarray, n_terms: int, block: int = BLOCK):
-        self.ptr, self.term, self.impact, self.n_terms = ptr, term, impact, n_terms
-        doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-        order = np.argsort(term, kind="stable")
-        lists, listed = np.append(0, np.cumsum(np.bincount(term, minlength=n_terms))), doc[order]
-        sketch = self._sketch()
-        members, sizes = [], []
-        self.first_block = np.zeros(n_terms + 1, np.int64)
-        for t in range(n_terms):
-            own = listed[lists[t]:lists[t + 1]]
-            cuts = self._clustered(own, sketch, block) if len(own) > block else [own] if len(own) else []
-            members += cuts
-            sizes += [len(c) for c in cuts]
-            self.first_block[t + 1] = len(members)
-        self.members = np.concatenate(members) if members else np.zeros(0, np.int64)
-        self.block_ptr = np.append(0, np.cumsum(sizes)).astype(np.int64)
-        self._summarise()
-
-    def _sketch(self) -> np.ndarray:
-        signs = np.random.Generator(np.random.PCG64(11)).integers(0, 2, (self.n_terms, SKETCH)) * 2.0 - 1
-        sums = np.concatenate([np.zeros((1, SKETCH)), np.cumsum(signs[self.term] * self.impact[:, None].astype(float), 0)])
-        out = sums[self.ptr[1:]] - sums[self.ptr[:-1]]
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-    @staticmethod
-    def _clustered(own: np.ndarray, sketch: np.ndarray, block: int) -> list[np.ndarray]:
-        centres = own[np.linspace(0, len(own) - 1, min(CENTRES, -(-len(own) // block))).astype(np.int64)]
-        near = (sketch[own] @ sketch[centres].T).argmax(1)
-        own, near = own[np.argsort(near, kind="stable")], np.sort(near)
-        return [c[i:i + block] for c in np.split(own, np.flatnonzero(near[1:] != near[:-1]) + 1) for i in range(0, len(c), block)]
-
-    def _summarise(self, most: int = 1 << 21) -> None:
-        """Coordinatewise maxima of blocks, some blocks at a time."""
-        owner = np.repeat(np.arange(len(self.block_ptr) - 1), np.diff(self.block_ptr))
-        cost = np.append(0, np.cumsum((self.ptr[self.members + 1] - self.ptr[self.members])))
-        blocks, terms, tops, i = [], [], [], 0
-        while i < len(self.members):
-            j = int(self.block_ptr[min(np.searchsorted(self.block_ptr, max(np.searchsorted(cost, cost[i] + most), i + 1)), len(self.block_ptr) - 1)])
-            at, bounds = _rows_of(self.ptr, self.members[i:j])
-            key = np.repeat(owner[i:j], np.diff(bounds)) * self.n_terms + self.term[at]
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            tops.append(np.maximum.reduceat(self.impact[at][order], first))
-            blocks.append(key[first] // self.n_terms)
-            terms.append(key[first] % self.n_terms)
-            i = j
-        self.top_term = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-        self.top = np.concatenate(tops) if tops else np.zeros(0, np.int64)
-        self.top_ptr = np.searchsorted(np.concatenate(blocks) if blocks else np.zeros(0, np.int64), np.arange(len(self.block_ptr)))
-
-    def _sums(self, ptr: np.ndarray, term: np.ndarray, value: np.ndarray, which: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        at, bounds = _rows_of(ptr, which)
-        total = np.append(0, np.cumsum(value[at] * wanted[term[at]]))
-        return total[bounds[1:]] - total[bounds[:-1]]
-
-    def bounds(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Blocks of an item's lists, and the sum of each one's summary over the item's terms."""
-        wanted = np.zeros(self.n_terms, bool)
-        wanted[own] = True
-        blocks = np.concatenate([np.arange(self.first_block[t], self.first_block[t + 1]) for t in own]) if len(own) else np.zeros(0, np.int64)
-        return blocks, self._sums(self.top_ptr, self.top_term, self.top, blocks, wanted)
-
-    def scores(self, docs: np.ndarray, own: np.ndarray) -> np.ndarray:
-        wanted = np.zeros(self.n_terms, bool)
-        wanted[own] = True
-        return self._sums(self.ptr, self.term, self.impact, docs, wanted)
-
-    def search(self, own: np.ndarray, floor: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(documents, scores) that may be among the best k, given the k-th best score so far; and how many were scored."""
-        blocks, bound = self.bounds(own)
-        order = np.argsort(-bound, kind="stable")
-        blocks, bound = blocks[order], bound[order]
-        seen = np.zeros(len(self.ptr) - 1, bool)
-        docs, scores, i, scored = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
-        while i < len(blocks) and bound[i] >= max(floor, 1):
-            at, _ = _rows_of(self.block_ptr, blocks[i:i + STEP])
-            fresh = np.unique(self.members[at])
-            fresh = fresh[~seen[fresh]]
-            seen[fresh] = True
-            scored += len(fresh)
-            docs, scores = np.append(docs, fresh), np.append(scores, self.scores(fresh, own))
-            if len(scores) >= k:
-                floor = max(floor, int(np.partition(scores, -k)[-k]))
-                docs, scores = docs[scores >= floor], scores[scores >= floor]
-            i += STEP
-        return docs, scores, scored
-
-
 class _Best:
     """Best k of one item: falling score, then rising id, rows without id last."""
 
@@ -242,8 +141,87 @@ class _Best:
         self.score, self.doc, self.none = score[order], doc[order], none[order]
 
 
+def quotients(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What a term's weight is multiplied with; less than a million."""
+    tf = tf.astype(np.int64)
+    return (1_000_000_000 * tf // (1000 * tf + 8 * m)).astype(np.int32)
+
+
+class Shard:
+    """Documents as columns of quotients, one row per term, and their posting lists in blocks."""
+
+    def __init__(self, ptr: np.ndarray, term: np.ndarray, quotient: np.ndarray, weights: np.ndarray, block: int = BLOCK):
+        doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+        self.weights, self.block = weights, block
+        self.table = np.zeros((len(weights), len(ptr) - 1), np.int32)
+        self.table[term, doc] = quotient
+        order = np.argsort(term, kind="stable")
+        self.lists, self.listed = np.append(0, np.cumsum(np.bincount(term, minlength=len(weights)))), doc[order]
+        signs = (np.random.Generator(np.random.PCG64(11)).integers(0, 2, (len(weights), SKETCH)) * 2 - 1) * weights[:, None]
+        signs = signs.astype(np.float32)
+        sketch = np.concatenate([self.table[:, i:i + 256].T.astype(np.float32) @ signs for i in range(0, max(1, len(ptr) - 1), 256)])
+        self.sketch = sketch / np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-9)
+
+    def blocks(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of a term's list, cluster by cluster, and the bounds of its blocks."""
+        own = self.listed[self.lists[term]:self.lists[term + 1]]
+        if len(own) <= self.block:
+            return own, np.unique([0, len(own)])
+        centres = own[np.linspace(0, len(own) - 1, min(CENTRES, -(-len(own) // self.block))).astype(np.int64)]
+        near = (self.sketch[own] @ self.sketch[centres].T).argmax(1)
+        order = np.argsort(near, kind="stable")
+        own, near = own[order], near[order]
+        first = np.flatnonzero(np.append(True, near[1:] != near[:-1]))
+        size = np.diff(np.append(first, len(own)))
+        pieces = -(-size // self.block)
+        number = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        return own, np.append(np.repeat(first, pieces) + number * self.block, len(own))
+
+    def summaries(self, docs: np.ndarray, bounds: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Coordinatewise maxima of the blocks, one column each, over some terms."""
+        return np.maximum.reduceat(self.table[terms[:, None], docs], bounds[:-1], axis=1)
+
+    def scores(self, docs: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return self.weights[own] @ self.table[own[:, None], docs].astype(np.int64)
+
+    def search(self, own: list[np.ndarray], best: list[_Best], ids: np.ndarray, none: np.ndarray) -> int:
+        """Offer to each item's best what may rank; returns how many scores it took."""
+        askers: dict[int, list[int]] = {}
+        for i, terms in enumerate(own):
+            for t in terms.tolist():
+                askers.setdefault(t, []).append(i)
+        seen = np.zeros((len(own), self.table.shape[1]), bool)
+        taken = 0
+        for t in sorted(askers, key=lambda t: (-self.weights[t], t)):
+            docs, bounds = self.blocks(t)
+            if not len(docs) or not self.weights[t]:
+                continue
+            block = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            terms = np.unique(np.concatenate([own[i] for i in askers[t]]))
+            tops = self.summaries(docs, bounds, terms)
+            for i in askers[t]:
+                bound = self.weights[own[i]] @ tops[np.searchsorted(terms, own[i])].astype(np.int64)
+                visited = np.flatnonzero((bound >= max(best[i].floor(), 1))[block] & ~seen[i, docs])
+                if not len(visited):
+                    continue
+                ahead = bound[block[visited]]
+                order = np.argsort(-ahead, kind="stable")
+                fresh, ahead, at = docs[visited[order]], ahead[order], 0
+                while at < len(fresh) and ahead[at] >= max(best[i].floor(), 1):
+                    now = fresh[at:at + STEP]
+                    at += STEP
+                    seen[i, now] = True
+                    taken += len(now)
+                    scores = self.scores(now, own[i])
+                    may = scores >= max(best[i].floor(), 1)
+                    if may.any():
+                        best[i].add(scores[may], ids[now[may]], none[now[may]])
+        return taken
+
+
 def _search(counts: DataFrame, items: Items, stats: Corpus, k: int, shard_docs: int) -> DataFrame:
     schema = pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
+    most = max(1, min(shard_docs, SHARD_CELLS // max(1, len(items.terms))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [_Best(k) for _ in items.ids]
@@ -256,15 +234,13 @@ def _search(counts: DataFrame, items: Items, stats: Corpus, k: int, shard_docs:
             term, tf = np.concatenate([x["term"] for x in held]).astype(np.int64), np.concatenate([x["tf"] for x in held])
             size = np.concatenate([np.diff(x["ptr"]) for x in held])
             m = 10 + 90 * n * stats.documents // max(stats.terms, 1)
-            shard = Shard(np.append(0, np.cumsum(size)), term, impacts(tf, stats.weights[term], np.repeat(m, size)), len(items.terms))
-            for own, found in zip(items.own, best):
-                docs, scores, _ = shard.search(own, found.floor(), k)
-                found.add(scores, ids[docs], none[docs])
+            shard = Shard(np.append(0, np.cumsum(size)), term, quotients(tf, np.repeat(m, size)), stats.weights)
+            shard.search(items.own, best, ids, none)
 
         for batch in batches:
             for payload in batch.column(0):
                 held.append(unpack(payload.as_py()))
-                if sum(len(x["n"]) for x in held) >= shard_docs:
+                if sum(len(x["n"]) for x in held) >= most:
                     work()
                     held = []
         if held:

@@ -61,32 +61,37 @@ def test_empty(spark, docs, empty, corpus):
 def shard(groups=40, n=3000):
     """Documents of some groups with words of their own, and ten common words of little weight."""
     rng = np.random.default_rng(1)
-    ptr, term, impact = [0], [], []
+    ptr, term, quotient = [0], [], []
     for d in range(n):
         common = np.sort(rng.choice(10, 4, replace=False))
         term += [*common.tolist(), *range(10 + 8 * (d % groups), 18 + 8 * (d % groups))]
-        impact += (np.append(rng.integers(1, 300, 4), rng.integers(500, 1000, 8)) * 10**7).tolist()
+        quotient += rng.integers(1, 10**6, 12).tolist()
         ptr.append(len(term))
-    return search.Shard(np.array(ptr), np.array(term), np.array(impact), 10 + 8 * groups), rng
+    weights = np.append(np.full(10, 300), rng.integers(3000, 5000, 8 * groups))
+    return search.Shard(np.array(ptr), np.array(term), np.array(quotient), weights), rng
 
 
-def test_summaries_bound_all_scores():
+def test_blocks_hold_a_list_and_summaries_bound_all_scores():
     s, rng = shard()
-    for _ in range(20):
-        own = rng.choice(s.n_terms, 12, replace=False)
-        blocks, bound = s.bounds(own)
-        for b, most in zip(blocks.tolist(), bound.tolist()):
-            assert s.scores(s.members[s.block_ptr[b]:s.block_ptr[b + 1]], own).max() <= most
+    for t in (0, 5, 9, 10, 55):
+        docs, bounds = s.blocks(t)
+        assert sorted(docs) == np.flatnonzero(s.table[t]).tolist()
+        assert bounds[0] == 0 and bounds[-1] == len(docs) and 0 < np.diff(bounds).min() <= np.diff(bounds).max() <= search.BLOCK
+        own = np.unique(np.append(rng.choice(len(s.weights), 12, replace=False), t))
+        tops = s.weights[own] @ s.summaries(docs, bounds, own).astype(np.int64)
+        scores = s.scores(docs, own)
+        assert all(scores[a:b].max() <= top for a, b, top in zip(bounds[:-1], bounds[1:], tops))
 
 
 def test_blocks_are_skipped_and_nothing_is_lost():
     s, rng = shard()
-    scored = listed = 0
-    for group in range(40):
-        own = np.append(rng.choice(10, 3, replace=False), 10 + 8 * group + rng.choice(8, 5, replace=False))
-        docs, scores, n = s.search(own, 0, 10)
-        every = s.scores(np.arange(3000), own)
-        assert sorted(scores, reverse=True)[:10] == sorted(every, reverse=True)[:10]
-        assert set(np.flatnonzero(every >= np.sort(every)[-10])) <= set(docs)
-        scored, listed = scored + n, listed + int((every > 0).sum())
-    assert scored < .3 * listed
+    ids, none = np.arange(3000)[::-1].copy(), np.zeros(3000, bool)
+    own = [np.sort(np.append(rng.choice(10, 3, replace=False), 10 + 8 * g + rng.choice(8, 5, replace=False))) for g in range(40)]
+    best = [search._Best(10) for _ in own]
+    taken = s.search(own, best, ids, none)
+    listed = 0
+    for terms, found in zip(own, best):
+        every = s.scores(np.arange(3000), terms)
+        listed += int((every > 0).sum())
+        assert list(zip((-found.score).tolist(), found.doc.tolist())) == sorted((-int(x), int(i)) for x, i in zip(every, ids) if x > 0)[:10]
+    assert taken < .3 * listed
