@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -167,41 +164,56 @@ def truncated(text: Column, limit: Column) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, F.lit(1), limit), F.lit("..."))).otherwise(text)
 
 
-_SENTENCE_END = re.compile(r"(?<=[。！？!?])\s*|\n+")
+#: Fixed value: a sentence ends after its mark, with the white space that follows, or at line breaks.
+SENTENCE_END = r"(?<=[。！？!?])\s*|\n+"
 
 
-def _summary(text: str, limit: int, query: str) -> str:
-    """Sentences sharing most character bigrams with the query that fit the limit, in original order."""
-    wanted = {query[i:i + 2] for i in range(len(query) - 1)}
-    sentences = [s.strip() for s in _SENTENCE_END.split(text) if s.strip()]
-    if len(sentences) <= 1 or not wanted:
-        return text[:limit] + "..."
-    shared = [len({s[i:i + 2] for i in range(len(s) - 1)} & wanted) / len(wanted) for s in sentences]
-    chosen, used = [], 0
-    for i in sorted(range(len(sentences)), key=lambda i: -shared[i]):
-        cost = len(sentences[i]) + (1 if chosen else 0)
-        if used + cost <= limit:
-            chosen.append(i)
-            used += cost
-    if not chosen:
-        return sentences[max(range(len(sentences)), key=lambda i: (shared[i], -i))][:limit]
-    return " ".join(sentences[i] for i in sorted(chosen))
+def _bigrams(text: Column) -> Column:
+    """Distinct character pairs of a text."""
+    n = F.length(text)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
+    return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
-def compress(items: DataFrame, queries: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Fit each query's items into the budget: seeds are truncated, other items summarised."""
+def summarised(items: DataFrame) -> DataFrame:
+    """``items`` (text, allowed, wanted) with the text cut to the sentences that share most pairs with ``wanted`` and fit.
+
+    Sentences are ranked inside the row and taken by one fold over the ranked list; those taken keep their order in
+    the text. Without two sentences or without wanted pairs the text is truncated; if no sentence fits, the best one is.
+    """
+    sentences = F.filter(F.transform(F.split("text", SENTENCE_END), tx.strip), lambda x: F.length(x) > 0)
+    ranked = F.array_sort(F.transform("_sentences", lambda x, i: F.struct(
+        (-F.size(F.array_intersect(_bigrams(x), F.col("wanted")))).alias("shared"), i.alias("i"), F.length(x).alias("n"))))
+    nothing = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("taken"))
+
+    def take(state: Column, x: Column) -> Column:
+        cost = x["n"] + F.when(F.size(state["taken"]) > 0, 1).otherwise(0)
+        fits = state["used"] + cost <= F.col("allowed")
+        return F.struct(F.when(fits, state["used"] + cost).otherwise(state["used"]).alias("used"),
+                        F.when(fits, F.concat(state["taken"], F.array(x["i"]))).otherwise(state["taken"]).alias("taken"))
 
-    @F.pandas_udf("string")
-    def summary(text: pd.Series, limit: pd.Series, query: pd.Series) -> pd.Series:
-        return pd.Series([_summary(t, int(n), q.strip()) for t, n, q in zip(text, limit, query)])
+    chosen = F.sort_array(F.aggregate("_ranked", nothing, take, lambda state: state["taken"]))
+    told = (F.when((F.size("_sentences") <= 1) | (F.size("wanted") == 0), truncated(F.col("text"), F.col("allowed")))
+            .when(F.size("_taken") == 0, F.substring(F.get("_sentences", F.get("_ranked", F.lit(0))["i"]), F.lit(1), F.col("allowed")))
+            .otherwise(F.array_join(F.transform("_taken", lambda i: F.get("_sentences", i)), " ")))
+    step = items.withColumn("_sentences", sentences).withColumn("_ranked", ranked).withColumn("_taken", chosen)
+    return step.withColumn("text", told).drop("_sentences", "_ranked", "_taken")
 
-    b = budgets(items, max_chars).join(queries.select("query_id", F.col("query").alias("_q")), "query_id", "left")
+
+def compress(items: DataFrame, queries: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+    """Fit each query's items into the budget: seeds are truncated, other items summarised.
+
+    What a summary should speak of are the query and, if there is such a column, its ``keywords``.
+    """
+    parts = ["query", F.array_join("keywords", " ")] if "keywords" in queries.columns else ["query"]
+    asked = queries.select("query_id", _bigrams(tx.strip(F.concat_ws(" ", *parts))).alias("wanted"))
+    b = budgets(items, max_chars)
     long = F.col("allowed").isNotNull() & (F.length("text") > F.col("allowed"))
     kept = b.filter(~long)
     cut = b.filter(long & (F.col("role") == "seed")).withColumn("text", truncated(F.col("text"), F.col("allowed")))
-    told = b.filter(long & (F.col("role") != "seed")).withColumn(
-        "text", summary("text", "allowed", F.coalesce("_q", F.lit(""))))
-    return kept.unionByName(cut).unionByName(told).drop("_q", "allowed")
+    told = summarised(b.filter(long & (F.col("role") != "seed")).join(asked, "query_id", "left").withColumn(
+        "wanted", F.coalesce("wanted", F.array().cast("array<string>"))))
+    return kept.unionByName(cut).unionByName(told.drop("wanted")).drop("allowed")
 
 
 def relations_between(relations: DataFrame, items: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def co_mentions(refs: DataFrame) -> DataFrame:
     return head.join(tail, "segment_id").filter(F.col("head") != F.col("tail"))
 
 
-def _pattern_match(patterns: list[tuple[str, str, str]]) -> Column:
+def pattern_match(patterns: list[tuple[str, str, str]]) -> Column:
     """Names of the relation patterns (name, head type, tail type) that fit a typed pair."""
     hits = []
     for name, head, tail in patterns:
@@ -142,7 +142,7 @@ def _pattern_match(patterns: list[tuple[str, str, str]]) -> Column:
 def candidate_relations(pairs: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
     """Typed relation candidates of each segment: pairs whose types fit a pattern."""
     return (
-        pairs.select("*", F.explode(_pattern_match(patterns)).alias("relation_type"))
+        pairs.select("*", F.explode(pattern_match(patterns)).alias("relation_type"))
         .groupBy("segment_id", "head", "relation_type", "tail")
         .agg(F.min("head_type").alias("head_type"), F.min("tail_type").alias("tail_type"))
     )
@@ -150,7 +150,7 @@ def candidate_relations(pairs: DataFrame, patterns: list[tuple[str, str, str]])
 
 def off_schema_pairs(pairs: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
     """Pairs of a segment whose types fit no pattern."""
-    return pairs.filter(F.size(_pattern_match(patterns)) == 0).select(
+    return pairs.filter(F.size(pattern_match(patterns)) == 0).select(
         "segment_id", "head", "head_type", "tail", "tail_type")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.functions import text as tx
+
 # Fixed values.
 RRF_K = 60
 MIN_SCORE = 0.01
@@ -126,43 +127,31 @@ def downweight(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("score", F.when(low, F.col("score") * LOW_VALUE_FACTOR).otherwise(F.col("score")))
 
 
-def _bigrams(text: str) -> set[str]:
-    return {text[i:i + 2] for i in range(len(text) - 1)}
-
-
-def _keep_distinct(texts: list[str], threshold: float) -> list[bool]:
-    kept, flags = [], []
-    for text in texts:
-        grams = _bigrams((text or "").strip())
-        near = False
-        for other in kept:
-            if grams and other:
-                both = len(grams & other)
-                if both / (len(grams) + len(other) - both) > threshold:
-                    near = True
-                    break
-        flags.append(not near)
-        if not near:
-            kept.append(grams)
-    return flags
-
-
 def drop_similar_texts(candidates: DataFrame, threshold: float = TEXT_SIMILARITY) -> DataFrame:
     """Greedy removal of near-equal texts inside each query's list, best first.
 
-    The list of a query is its top-k by then, so one group is small by construction.
+    The list of a query is its top-k by then, so one row holds it. Each candidate knows the earlier places whose character
+    pairs are too similar; one fold over the list keeps those that no kept place is similar to.
     """
-    lists = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("score")).alias("neg"), "unit_id", "text"))).alias("items"))
-
-    @F.pandas_udf("array<boolean>")
-    def flags(items: pd.Series) -> pd.Series:
-        return items.map(lambda xs: _keep_distinct([x["text"] for x in xs], threshold))
-
-    kept = F.filter(F.arrays_zip("items", "keep"), lambda z: z["keep"])
-    return lists.withColumn("keep", flags("items")).select("query_id", F.explode(kept).alias("z")).select(
-        "query_id", F.col("z.items.unit_id").alias("unit_id"), (-F.col("z.items.neg")).alias("score"),
-        F.col("z.items.text").alias("text"))
+    text = tx.strip(F.coalesce(F.col("text"), F.lit("")))
+    n = F.length(text)
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2))))
+    grams = F.when(n >= 2, pairs).otherwise(F.array().cast("array<string>"))
+    lists = candidates.withColumn("grams", grams).groupBy("query_id").agg(F.array_sort(F.collect_list(
+        F.struct((-F.col("score")).alias("neg"), "unit_id", "text", "grams"))).alias("items"))
+
+    def similar(a: Column, b: Column) -> Column:
+        both = F.size(F.array_intersect(a, b))
+        return (both > 0) & (both / (F.size(a) + F.size(b) - both) > threshold)
+
+    near = F.transform("items", lambda x, j: F.filter(
+        F.transform("items", lambda y, i: F.when((i < j) & similar(x["grams"], y["grams"]), i)), lambda i: i.isNotNull()))
+    kept = F.aggregate(
+        F.transform("near", lambda x, i: F.struct(i.alias("i"), x.alias("near"))), F.array().cast("array<int>"),
+        lambda kept, x: F.when(F.arrays_overlap(kept, x["near"]), kept).otherwise(F.concat(kept, F.array(x["i"]))))
+    best = lists.withColumn("near", near).withColumn("kept", kept)
+    return best.select("query_id", F.explode(F.transform("kept", lambda i: F.get("items", i))).alias("z")).select(
+        "query_id", "z.unit_id", (-F.col("z.neg")).alias("score"), "z.text")
 
 
 def score_chain(raw: Column, fusion: Column, rerank: Column, sources: Column) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
-from tessella.operators.enrich import UNTYPED, candidate_relations, co_mentions
-from tessella.operators.retrieval import containing, symmetric
+from tessella.operators.enrich import UNTYPED, WILDCARD, candidate_relations, co_mentions, pattern_match
+from tessella.operators.retrieval import HUB_EDGES, containing, meet, split_hubs, symmetric
 from tessella.session import cut_lineage
 
 # Fixed values.
@@ -76,6 +76,45 @@ def edge_strength(edges: DataFrame, mentions: DataFrame, total_segments: int | C
     return j.withColumn("npmi", F.round(npmi(*p), 9)).drop("n_head", "n_tail", "n_both")
 
 
+def strong_edges(refs: DataFrame, patterns: list[tuple[str, str, str]], total_segments: int | Column, hub: int = HUB_EDGES) -> DataFrame:
+    """Edges of co-mentioned entities that fit a pattern, with ``cooccur`` and ``npmi``, from one pass over the pairs.
+
+    ``refs``: (segment_id, type, key). Entities are paired only where a pattern has their types, and a segment of very many
+    tails is paired in chunks. Pairs are counted by their ends and types before they are shuffled; the same
+    count gives support and strength. Keys that occur under several types are few; their pairs of any type count for the strength,
+    so they go by ``co_mentions``.
+    """
+    one = refs.filter(F.length("key") > 0).select("segment_id", "type", "key").distinct()
+    kinds = one.groupBy("key").agg(F.count_distinct("segment_id").alias("n"), F.count_distinct("type").alias("types"))
+    mixed = kinds.where("types > 1").select("key")
+    single = one.join(mixed, "key", "left_anti")
+
+    def side(place: int, kind: str, key: str) -> DataFrame:
+        wanted = {p[place] for p in patterns}
+        rows = single if WILDCARD in wanted else single.where(F.col("type").isin(*wanted))
+        return rows.select("segment_id", F.col("type").alias(kind), F.col("key").alias(key))
+
+    tails, hubs = split_hubs(side(2, "tail_type", "tail"), "segment_id", hub)
+    heads = side(1, "head_type", "head").withColumnRenamed("segment_id", "segment")
+    relations = pattern_match(patterns)
+    met = meet(heads, "segment", tails, hubs, "segment_id").where((F.col("head") != F.col("tail")) & (F.size(relations) > 0))
+    counted = met.groupBy("head", "tail", "head_type", "tail_type").agg(F.count("*").alias("cooccur"), F.min("segment_id").alias("first_segment"))
+    columns = ["head", "relation_type", "tail", "head_type", "tail_type", "cooccur", "first_segment", "n_both"]
+    plain = counted.select("*", F.explode(relations).alias("relation_type"), F.col("cooccur").alias("n_both")).select(*columns)
+    around = one.join(one.join(mixed, "key", "left_semi").select("segment_id").distinct(), "segment_id", "left_semi")
+    pairs = co_mentions(around).join(
+        mixed.select(F.col("key").alias("head"), F.lit(True).alias("h")), "head", "left").join(
+        mixed.select(F.col("key").alias("tail"), F.lit(True).alias("t")), "tail", "left").where("h or t")
+    both = pairs.groupBy("head", "tail").agg(F.count_distinct("segment_id").alias("n_both"))
+    other = aggregate_edges(candidate_relations(pairs, patterns)).join(both, ["head", "tail"]).select(*columns)
+    j = (
+        plain.unionByName(other)
+        .join(kinds.select(F.col("key").alias("head"), F.col("n").alias("n_head")), "head")
+        .join(kinds.select(F.col("key").alias("tail"), F.col("n").alias("n_tail")), "tail"))
+    total = F.lit(total_segments) if not isinstance(total_segments, Column) else total_segments
+    return j.withColumn("npmi", F.round(npmi(*[F.col(c) / total for c in ("n_head", "n_tail", "n_both")]), 9)).drop("n_head", "n_tail", "n_both")
+
+
 def kept_edges(edges: DataFrame, entities: DataFrame, floor: float = NPMI_FLOOR) -> DataFrame:
     """Fact edges: strong enough, with evidence, between different confirmed entities; confidence from NPMI."""
     h = entities.select(F.col("node_type").alias("head_type"), F.col("canonical_name").alias("head"), F.col("entity_id").alias("head_id"))
@@ -109,9 +148,7 @@ def rebuild_edges(mentions: DataFrame, entities: DataFrame, patterns: list, tota
     m = mentions.filter(F.col("resolve_status").isin(*CONFIRMED)).select("segment_id", "entity_id").join(
         entities.select("entity_id", "node_type", "canonical_name"), "entity_id")
     refs = m.select("segment_id", F.col("node_type").alias("type"), F.col("canonical_name").alias("key"))
-    edges = aggregate_edges(candidate_relations(co_mentions(refs), patterns))
-    strong = edge_strength(edges, refs.select("segment_id", "key"), total_segments)
-    return kept_edges(strong, entities, floor)
+    return kept_edges(strong_edges(refs, patterns, total_segments), entities, floor)
 
 
 def scoped_recompute(changed: DataFrame, old_edges: DataFrame, mentions: DataFrame, entities: DataFrame, patterns: list,
@@ -287,22 +324,25 @@ def suggest_entities(mentions: DataFrame, entities: DataFrame, k: int = SUGGESTI
         "mention_id", "entity_id", "canonical_name", "mention_count", "rank")
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """Entities within ``hops`` undirected hops of each seed; the frontier holds new nodes only."""
-    both = symmetric(edges.select("head_id", "tail_id"), "head_id", "tail_id").distinct()
+def reachable(seeds: DataFrame, edges: DataFrame, hops: int, hub: int = HUB_EDGES) -> DataFrame:
+    """Entities within ``hops`` undirected hops of each seed; the frontier holds new nodes only, and meets hubs chunk by chunk."""
+    both, hubs = split_hubs(symmetric(edges.select("head_id", "tail_id"), "head_id", "tail_id").distinct(), "src", hub)
     seen = seeds.select("seed_id", F.col("seed_id").alias("entity_id")).distinct()
     front = seen
     for _ in range(hops):
-        nxt = front.join(both, front["entity_id"] == both["src"]).select("seed_id", F.col("dst").alias("entity_id")).distinct()
+        nxt = meet(front, "entity_id", both, hubs, "src").select("seed_id", F.col("dst").alias("entity_id")).distinct()
         front = nxt.join(seen, ["seed_id", "entity_id"], "left_anti")
         seen = seen.unionByName(front)
     return seen
 
 
-def neighbourhood_edges(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+def neighbourhood_edges(seeds: DataFrame, edges: DataFrame, hops: int, hub: int = HUB_EDGES) -> DataFrame:
     """All edges with an end among the reached entities (one hop beyond the reach)."""
-    r = reachable(seeds, edges, hops)
-    parts = [r.select("seed_id", F.col("entity_id").alias(end)).join(edges, end).select("seed_id", *edges.columns) for end in ("head_id", "tail_id")]
+    r = reachable(seeds, edges, hops, hub)
+    parts = []
+    for end in ("head_id", "tail_id"):
+        adjacency, hubs = split_hubs(edges, end, hub)
+        parts.append(meet(r, "entity_id", adjacency, hubs, end).select("seed_id", *edges.columns))
     return parts[0].unionByName(parts[1]).distinct()
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
-from tessella.session import at_most
+from tessella.session import at_most, cut_lineage
 
 # Words never used as search terms.
 STOPWORDS_ZH = (
@@ -43,6 +43,8 @@ GRAPH_BASE = 0.85
 CARD_BOOST = 1.1
 EXPANSION_BUDGET = 20
 K1, B = 1.2, 0.75
+#: A node of more edges is a hub: its edges lie in chunks of about so many.
+HUB_EDGES = 50_000
 OUTSIDE = -2.0  # below any cosine: marks a vector of another group
 
 
@@ -133,27 +135,36 @@ def trigrams(text: Column) -> Column:
     return F.when(F.size(toks) > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
-def trigram_similarity(queries: DataFrame, units: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Units whose trigram set overlaps the query's by at least ``threshold`` (Jaccard).
+def trigram_similarity(queries: DataFrame, units: DataFrame, threshold: float = 0.3, max_shared: int = 1_000_000) -> DataFrame:
+    """Units whose trigram set overlaps the query's by at least ``threshold`` (Jaccard); exact.
 
-    The overlap is counted over shared trigrams, so pairs without one never meet; sizes that cannot
-    reach the threshold are dropped inside the join. Units are placed by id once, so the counts of a
-    unit are complete in its own task; the queries' trigrams are shared up to a checked size.
+    A unit that similar shares one of the query's n - ceil(threshold n) + 1 rarest trigrams, so only these, by their
+    frequency in the corpus, are looked for; sizes that cannot reach the threshold are dropped in the join. What a pair
+    shares of them, with all other trigrams of the query on top, must reach the overlap that both sizes ask for. Pairs that
+    are left are verified once, where the unit's text lies. Neither text nor trigrams of units are shuffled unless
+    queries or pairs are more than ``max_shared``.
     """
-    q = queries.select("query_id", trigrams(F.array_join(search_tokens(F.col("query")), " ")).alias("g"))
-    q = q.select("query_id", F.size("g").alias("nq"), F.explode("g").alias("gram"))
-    if at_most(q, 1_000_000):
-        q = F.broadcast(q)
-    u = units.select("unit_id", "text").repartition("unit_id").select("unit_id", trigrams(F.col("text")).alias("g"))
-    u = u.select("unit_id", F.size("g").alias("nu"), F.explode("g").alias("gram"))
-    fits = (F.col("nu") >= threshold * F.col("nq")) & (threshold * F.col("nu") <= F.col("nq"))
-    return (
-        u.join(q, "gram").filter(fits)
-        .groupBy("query_id", "unit_id").agg(F.count("*").alias("c"), F.first("nq").alias("nq"), F.first("nu").alias("nu"))
-        .withColumn("score", F.round(F.col("c") / (F.col("nq") + F.col("nu") - F.col("c")), 6))
-        .filter(F.col("score") >= threshold)
-        .select("query_id", "unit_id", "score")
-    )
+    def share(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if at_most(df, max_shared) else df
+
+    grams = trigrams(F.array_join(search_tokens(F.col("query")), " "))
+    q = queries.select("query_id", F.explode(grams).alias("gram"))
+    u = units.select("unit_id", trigrams(F.col("text")).alias("g"))
+    freq = u.select(F.explode("g").alias("gram")).join(share(q.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    o = q.join(freq, "gram", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("o"))
+    nq = F.size("o")
+    ordered = cut_lineage(o.select("query_id", nq.alias("nq"), F.transform("o", lambda x: x["gram"]).alias("grams"), (nq - F.ceil(nq * F.lit(threshold) - 1e-9) + 1).cast("int").alias("first")))
+    probe = ordered.select("query_id", "nq", "first", F.explode(F.slice("grams", F.lit(1), F.col("first"))).alias("gram"))
+    fits = (F.col("nu") >= threshold * F.col("nq") - 1e-9) & (threshold * F.col("nu") - 1e-9 <= F.col("nq"))
+    met = u.select("unit_id", F.size("g").alias("nu"), F.explode("g").alias("gram")).join(share(probe), "gram").where(fits)
+    need = (F.col("nq") + F.col("nu")) * (threshold / (1 + threshold)) - 1e-6
+    able = met.groupBy("query_id", "unit_id").agg(F.count("*").alias("c"), F.first("nq").alias("nq"), F.first("nu").alias("nu"), F.first("first").alias("first")).where(
+        F.col("c") + F.col("nq") - F.col("first") >= need)
+    pairs = cut_lineage(able.select("query_id", "unit_id"))
+    c = F.size(F.array_intersect("grams", "g"))
+    verified = u.join(share(pairs), "unit_id").join(share(ordered.select("query_id", "nq", "grams")), "query_id").select(
+        "query_id", "unit_id", F.round(c / (F.col("nq") + F.size("g") - c), 6).alias("score"))
+    return verified.filter(F.col("score") >= threshold)
 
 
 def containing(needles: DataFrame, texts: DataFrame, widths: tuple[int, ...] = (3, 2, 1),
@@ -391,19 +402,39 @@ def symmetric(edges: DataFrame, head: str = "head", tail: str = "tail") -> DataF
     return one.unionByName(two)
 
 
-def graph_reach(seeds: DataFrame, edges: DataFrame, max_hop: int, min_confidence: float) -> DataFrame:
+def split_hubs(adjacency: DataFrame, key: str, hub: int = HUB_EDGES) -> tuple[DataFrame, DataFrame]:
+    """Adjacency rows with a ``chunk`` number, and the hubs: nodes of more than ``hub`` rows with their number of chunks.
+
+    A hub's rows are dealt over its chunks by a hash of the whole row; all others have chunk 0. There are at most
+    (rows / hub) hubs.
+    """
+    hubs = adjacency.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hub).select(key, F.ceil(F.col("n") / hub).cast("int").alias("chunks"))
+    spread = F.pmod(F.xxhash64(*adjacency.columns), F.coalesce("chunks", F.lit(1))).cast("int")
+    return adjacency.join(hubs, key, "left").withColumn("chunk", spread).drop("chunks"), hubs
+
+
+def meet(front: DataFrame, entity: str, adjacency: DataFrame, hubs: DataFrame, key: str) -> DataFrame:
+    """Frontier rows with the adjacency rows of their entity; a row on a hub goes to each of the hub's chunks."""
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))
+    placed = front.withColumnRenamed(entity, key).join(hubs, key, "left").withColumn("chunk", copies).drop("chunks")
+    return placed.join(adjacency, [key, "chunk"]).drop("chunk")
+
+
+def graph_reach(seeds: DataFrame, edges: DataFrame, max_hop: int, min_confidence: float, hub: int = HUB_EDGES) -> DataFrame:
     """Entities within ``max_hop`` undirected hops: fewest hops and best product of confidences.
 
     Confidences lie in [0, 1], so a walk that returns to a node never beats the path without the
-    loop: the best value per (query, node) after each hop is enough and paths are never listed.
+    loop: the best value per (query, node) after each hop is enough and paths are never listed. A hub's edges
+    are met chunk by chunk (``split_hubs``); the best values are combined before they are shuffled.
     """
     both = symmetric(edges.filter(F.col("confidence") >= min_confidence)).groupBy("src", "dst").agg(
         F.max("confidence").alias("w"))
+    both, hubs = split_hubs(both, "src", hub)
     front = seeds.select("query_id", "entity_id", F.lit(0).alias("hop"), F.lit(1.0).alias("conf"))
     reached = [front]
     for hop in range(1, max_hop + 1):
         front = (
-            front.join(both, front["entity_id"] == both["src"])
+            meet(front.select("query_id", "entity_id", "conf"), "entity_id", both, hubs, "src")
             .groupBy("query_id", F.col("dst").alias("entity_id"))
             .agg(F.lit(hop).alias("hop"), F.max(F.col("conf") * F.col("w")).alias("conf"))
         )

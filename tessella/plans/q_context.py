@@ -10,7 +10,7 @@ from tessella.operators import retrieval as rt
 from tessella.plans import derived as dv
 from tessella.plans.q_enrich import doc_roles, roles
 from tessella.plans.q_fusion import final_list
-from tessella.plans.q_retrieval import _chapters
+from tessella.plans.q_retrieval import TOKENS_SQL, _chapters
 from tessella.plans.registry import fragment, query
 from tessella.session import cut_lineage
 
@@ -234,9 +234,34 @@ def c10(spark, d):
     return cx.compress(assembled(spark, d), dv.questions(spark, d), LIMIT_CHARS).filter("role = 'seed'").select("query_id", "item_id", "text")
 
 
-@query("c11_extractive_summary")
+@query("c11_extractive_summary", r"""
+  SELECT query_id, item_id, text FROM (
+    WITH RECURSIVE total AS (SELECT query_id, sum(length(text)) AS total, count(*) FILTER (WHERE role <> 'seed') AS others FROM assembled GROUP BY 1),
+    item AS (SELECT query_id, item_id, text, total > {{LIMIT_CHARS}} AND length(text) > allowed AS long, allowed FROM (
+      SELECT *, greatest(100, {{OTHER_CHARS}} // others) AS allowed FROM assembled JOIN total USING (query_id) WHERE role <> 'seed')),
+    asked AS (SELECT query_id, trim(query || ' ' || array_to_string({{WORDS}}[1:3], ' ')) AS q FROM questions),
+    wanted AS (SELECT query_id, list_distinct(list_transform(range(1, greatest(length(q), 1)), lambda i: substr(q, i::INT, 2))) AS w FROM asked),
+    cut AS (SELECT item_id, query_id, allowed, w, text, list_filter(list_transform(
+        string_split(regexp_replace(regexp_replace(text, '([。！？!?])\s*', '\1' || chr(31), 'g'), '\n+', chr(31), 'g'), chr(31)),
+        lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 0) AS ss FROM item JOIN wanted USING (query_id) WHERE long),
+    sentence AS (SELECT query_id, item_id, allowed, i, ss[i] AS s, row_number() OVER (PARTITION BY query_id, item_id ORDER BY
+        len(list_intersect(list_distinct(list_transform(range(1, greatest(length(ss[i]), 1)), lambda j: substr(ss[i], j::INT, 2))), w)) DESC, i) AS n
+      FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM cut WHERE len(ss) > 1 AND len(w) > 0)),
+    step AS (SELECT query_id, item_id, n, CASE WHEN length(s) <= allowed THEN length(s) ELSE 0 END AS used, CASE WHEN length(s) <= allowed THEN [i] ELSE []::BIGINT[] END AS taken FROM sentence WHERE n = 1
+      UNION ALL SELECT query_id, item_id, m, CASE WHEN used + cost <= allowed THEN used + cost ELSE used END, CASE WHEN used + cost <= allowed THEN list_append(taken, i) ELSE taken END
+      FROM (SELECT step.*, x.n AS m, x.i, x.allowed, length(x.s) + CASE WHEN len(taken) > 0 THEN 1 ELSE 0 END AS cost
+            FROM step JOIN sentence x ON x.query_id = step.query_id AND x.item_id = step.item_id AND x.n = step.n + 1)),
+    done AS (SELECT query_id, item_id, arg_max(taken, n) AS taken FROM step GROUP BY 1, 2)
+    SELECT query_id, item_id, text FROM item WHERE NOT long
+    UNION ALL SELECT c.query_id, c.item_id, CASE
+        WHEN len(ss) <= 1 OR len(w) = 0 THEN substr(text, 1, allowed::BIGINT) || '...'
+        WHEN len(taken) = 0 THEN (SELECT substr(s, 1, c.allowed::BIGINT) FROM sentence x WHERE x.query_id = c.query_id AND x.item_id = c.item_id AND n = 1)
+        ELSE array_to_string(list_transform(list_sort(taken), lambda i: ss[i]), ' ') END
+    FROM cut c LEFT JOIN done ON c.query_id = done.query_id AND c.item_id = done.item_id)
+""".replace("{{LIMIT_CHARS}}", str(LIMIT_CHARS)).replace("{{OTHER_CHARS}}", str(LIMIT_CHARS - int(LIMIT_CHARS * cx.SEED_SHARE))).replace("{{WORDS}}", TOKENS_SQL.format("query")), ("assembled", "questions"))
 def c11(spark, d):
-    return cx.compress(assembled(spark, d), dv.questions(spark, d), LIMIT_CHARS).filter("role <> 'seed'").select("query_id", "item_id", "text")
+    q = dv.questions(spark, d).withColumn("keywords", F.slice(tx.tokens(F.col("query")), 1, 3))
+    return cx.compress(assembled(spark, d), q, LIMIT_CHARS).filter("role <> 'seed'").select("query_id", "item_id", "text")
 
 
 @query("c12_relations_between_items", """

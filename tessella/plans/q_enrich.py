@@ -140,6 +140,27 @@ def e07(spark, d):
     return en.off_schema_pairs(pairs(spark, d), PATTERNS)
 
 
+# The same rows folded to one per entity: how many, and a sum of hashes over them, so that all of them are compared.
+def folded(rows, by: list[str], of: list[str]):
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *of)), 1, 8), 16, 10).cast("bigint")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(h).alias("digest"))
+
+
+def folded_sql(table: str, by: str, of: str) -> str:
+    return f"SELECT {by}, count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', {of})), 1, 8))::BIGINT)::BIGINT AS digest FROM {table} GROUP BY ALL"
+
+
+@query("e06_relations_folded", folded_sql("typed_pairs", "head, relation_type", "segment_id, head, relation_type, tail, head_type, tail_type"), ("typed_pairs",))
+def e06b(spark, d):
+    of = ["segment_id", "head", "relation_type", "tail", "head_type", "tail_type"]
+    return folded(en.candidate_relations(pairs(spark, d), PATTERNS), ["head", "relation_type"], of)
+
+
+@query("e07_off_schema_folded", folded_sql("(SELECT * FROM pairs WHERE head_type = 'supplier')", "head, tail_type", "segment_id, head, head_type, tail, tail_type"), ("pairs",))
+def e07b(spark, d):
+    return folded(en.off_schema_pairs(pairs(spark, d), PATTERNS), ["head", "tail_type"], ["segment_id", "head", "head_type", "tail", "tail_type"])
+
+
 fragment("windows", """
   WITH c AS (SELECT doc_id, segment_id, token_count, row_number() OVER (PARTITION BY doc_id ORDER BY segment_index) - 1 AS pos,
                count(*) OVER (PARTITION BY doc_id) AS n FROM segments WHERE NOT is_heading),

@@ -153,7 +153,21 @@ def f09(spark, d):
     return fu.downweight(ranked_list(spark, d).select("query_id", "unit_id", "unit_type", "score"))
 
 
-@query("f10_drop_similar_texts")
+@query("f10_drop_similar_texts", r"""
+  SELECT query_id, unit_id, score FROM (
+    WITH RECURSIVE l AS MATERIALIZED (
+      SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS n,
+        list_distinct(list_transform(range(1, greatest(length(t), 1)), lambda i: substr(t, i::INT, 2))) AS g
+      FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM ranked_list)),
+    met AS MATERIALIZED (SELECT x.query_id, x.n, y.n AS m, len(x.g) + len(y.g) AS size, len(list_intersect(x.g, y.g)) AS shared
+             FROM l x JOIN l y ON x.query_id = y.query_id AND y.n < x.n AND len(y.g) >= 0.9 * len(x.g) AND len(x.g) >= 0.9 * len(y.g)),
+    near AS MATERIALIZED (SELECT query_id, n, list(m) AS earlier FROM met WHERE shared > 0 AND shared / (size - shared) > 0.9 GROUP BY 1, 2),
+    step AS (SELECT query_id, 1::BIGINT AS n, [1::BIGINT] AS kept FROM l WHERE n = 1
+      UNION ALL SELECT l.query_id, l.n, CASE WHEN list_has_any(kept, coalesce(earlier, []::BIGINT[])) THEN kept ELSE list_append(kept, l.n) END
+      FROM step JOIN l ON l.query_id = step.query_id AND l.n = step.n + 1 LEFT JOIN near ON near.query_id = l.query_id AND near.n = l.n),
+    done AS (SELECT query_id, arg_max(kept, n) AS kept FROM step GROUP BY 1)
+    SELECT l.query_id, unit_id, score FROM l JOIN done ON l.query_id = done.query_id AND list_contains(kept, l.n))
+""", ("ranked_list",))
 def f10(spark, d):
     return fu.drop_similar_texts(ranked_list(spark, d)).select("query_id", "unit_id", "score")
 
@@ -183,7 +197,17 @@ def f12(spark, d):
     return final_list(spark, d)
 
 
-@query("f13_rerank_batches")
+@query("f13_rerank_batches", r"""
+  SELECT * FROM (
+    WITH RECURSIVE l AS MATERIALIZED (
+      SELECT query_id, rank, unit_id, substr(text, 1, 4096) AS document, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n
+      FROM lexical JOIN units USING (unit_id) WHERE regexp_matches(text, '\S')),
+    step AS (SELECT query_id, n, 0 AS batch_id, 1 AS docs, length(document) AS chars FROM l WHERE n = 1
+      UNION ALL SELECT l.query_id, l.n, batch_id + CASE WHEN closed THEN 1 ELSE 0 END, CASE WHEN closed THEN 1 ELSE docs + 1 END, CASE WHEN closed THEN length(document) ELSE chars + length(document) END
+      FROM (SELECT step.*, l.n AS m, docs + 1 > 128 OR chars + length(l.document) > 28000 AS closed FROM step JOIN l ON l.query_id = step.query_id AND l.n = step.n + 1) s
+      JOIN l ON l.query_id = s.query_id AND l.n = s.m)
+    SELECT query_id, batch_id, rank, unit_id, document FROM l JOIN step USING (query_id, n))
+""", ("lexical", "units"))
 def f13(spark, d):
     c = lexical(spark, d).join(dv.units(spark, d).select("unit_id", "text"), "unit_id")
     return fu.rerank_batches(c)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import graph as gr
 from tessella.plans import derived as dv
-from tessella.plans.q_enrich import PATTERNS, pairs
+from tessella.plans.q_enrich import PATTERNS, folded, folded_sql, pairs
 from tessella.plans.q_units import word_refs
 from tessella.plans.registry import fragment, query
 
@@ -57,8 +57,8 @@ fragment("strength", """
 
 def strength(spark, d):
     total = dv.table(spark, d, "orders").agg(F.count("*")).scalar()
-    m = dv.mentions(spark, d).select("segment_id", F.col("mention_text").alias("key"))
-    return gr.edge_strength(edges_all(spark, d), m, total)
+    refs = dv.mentions(spark, d).select("segment_id", F.col("node_type").alias("type"), F.col("mention_text").alias("key"))
+    return gr.strong_edges(refs, SUPPLIED, total)
 
 
 @query("b04_npmi", "SELECT head, tail, cooccur, round(npmi, 6) AS npmi FROM strength", ("strength",))
@@ -110,11 +110,10 @@ def linked_mentions(spark, d):
     return dv.mentions(spark, d).withColumn("entity_id", F.col("canonical_name"))
 
 
-@query("b07_rebuild_edges", _rebuild_sql("resolve_status <> 'pending' AND snapshot_id IN (SELECT snapshot_id FROM run_snapshots WHERE run_id = 'F')"), ("mentions", "run_snapshots"))
+@query("b07_rebuild_edges", "SELECT * FROM rebuilt", ("rebuilt",))
 def b07(spark, d):
     total = dv.table(spark, d, "orders").agg(F.count("*")).scalar()
-    run = run_snapshots(spark, d).filter("run_id = 'F'").select("snapshot_id")
-    return gr.rebuild_edges(linked_mentions(spark, d).join(run, "snapshot_id", "left_semi"), dv.entities(spark, d), SUPPLIED, total)
+    return gr.rebuild_edges(linked_mentions(spark, d), dv.entities(spark, d), SUPPLIED, total)
 
 
 @query("b08_scoped_recompute", "SELECT * FROM rebuilt", ("rebuilt",))
@@ -299,7 +298,7 @@ def b17(spark, d):
 
 
 def fact_edges(spark, d):
-    return dv.graph_edges(spark, d).filter("confidence >= 0.95").select(F.col("head").alias("head_id"), F.col("tail").alias("tail_id"), "relation_type", "confidence")
+    return dv.graph_edges(spark, d).select(F.col("head").alias("head_id"), F.col("tail").alias("tail_id"), "relation_type", "confidence")
 
 
 def graph_seeds(spark, d):
@@ -307,9 +306,10 @@ def graph_seeds(spark, d):
 
 
 fragment("hood", """
-  WITH s AS (SELECT 'S' || min(s_suppkey) AS seed_id FROM supplier GROUP BY s_nationkey), e AS (SELECT * FROM graph_edges WHERE confidence >= 0.95),
+  WITH s AS (SELECT 'S' || min(s_suppkey) AS seed_id FROM supplier GROUP BY s_nationkey), e AS (SELECT * FROM graph_edges),
   r AS (SELECT seed_id, seed_id AS entity_id FROM s UNION SELECT seed_id, tail FROM s JOIN e ON head = seed_id)
-  SELECT DISTINCT seed_id, head AS head_id, tail AS tail_id, relation_type, confidence FROM r JOIN e ON head = entity_id OR tail = entity_id
+  SELECT seed_id, head AS head_id, tail AS tail_id, relation_type, confidence FROM r JOIN e ON head = entity_id
+  UNION SELECT seed_id, head, tail, relation_type, confidence FROM r JOIN e ON tail = entity_id
 """, ("graph_edges",))
 
 
@@ -318,6 +318,11 @@ def b18(spark, d):
     return gr.neighbourhood_edges(graph_seeds(spark, d), fact_edges(spark, d), 1)
 
 
+@query("b18_neighbourhood_folded", folded_sql("hood", "seed_id", "head_id, tail_id, relation_type"), ("hood",))
+def b18b(spark, d):
+    return folded(gr.neighbourhood_edges(graph_seeds(spark, d), fact_edges(spark, d), 1), ["seed_id"], ["head_id", "tail_id", "relation_type"])
+
+
 # Mentions with text: capitalised words; long words are kept in upper case, so some never occur as written.
 @query("b19_best_quotes", """
   WITH m AS (SELECT name AS entity_id, CASE WHEN length(name) >= 12 THEN upper(name) ELSE name END AS mention, segment_key FROM word_refs),
@@ -422,6 +427,11 @@ def b23(spark, d):
     return _review(spark, d)[0].select("mention_id", F.coalesce("entity_id", F.lit("")).alias("entity_id"), "resolve_status")
 
 
+@query("b23_reviews_folded", folded_sql("reviewed_mentions", "snapshot_id, resolve_status", "mention_id, coalesce(entity_id, ''), resolve_status"), ("reviewed_mentions",))
+def b23c(spark, d):
+    return folded(_review(spark, d)[0], ["snapshot_id", "resolve_status"], ["mention_id", F.coalesce("entity_id", F.lit("")), "resolve_status"])
+
+
 @query("b23_review_counts", """
   SELECT a.entity_id, count(m.mention_id) AS mention_count, count(DISTINCT m.snapshot_id) AS document_count FROM all_entities a
   LEFT JOIN (SELECT * FROM reviewed_mentions WHERE resolve_status IN ('auto', 'human')) m USING (entity_id) GROUP BY 1

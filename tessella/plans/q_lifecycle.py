@@ -134,7 +134,7 @@ fragment("releases", """
 """, ("links",))
 fragment("new_releases", """
   SELECT snapshot_id * 10 + 1 AS release_id, document_id AS build_id, domain, batch_id AS channel, linked_at AS activated_at FROM links
-  WHERE linked_at >= TIMESTAMP '1998-01-01' AND batch_id <> '5-LOW' AND content > 450000
+  WHERE linked_at >= TIMESTAMP '1998-01-01'
 """, ("links",))
 fragment("published", """
   WITH w AS (SELECT domain, channel, arg_max(release_id, {'a': activated_at, 'r': release_id}) AS winner FROM new_releases GROUP BY 1, 2)
@@ -153,7 +153,7 @@ def releases(spark, d):
 
 
 def published(spark, d):
-    new = dv.links(spark, d).filter((F.col("linked_at") >= F.lit("1998-01-01").cast("timestamp")) & (F.col("batch_id") != "5-LOW") & (F.col("content") > 450000)).select(
+    new = dv.links(spark, d).filter(F.col("linked_at") >= F.lit("1998-01-01").cast("timestamp")).select(
         (F.col("snapshot_id") * 10 + 1).alias("release_id"), F.col("document_id").alias("build_id"), "domain", F.col("batch_id").alias("channel"), F.col("linked_at").alias("activated_at"))
     return lc.publish(releases(spark, d), new)
 
@@ -164,10 +164,10 @@ def l06(spark, d):
 
 
 @query("l06_duplicate_active", """
-  SELECT domain, channel, count(*) AS n FROM (SELECT domain, batch_id AS channel FROM links WHERE order_status = 'F' AND content > 490000) GROUP BY 1, 2 HAVING count(*) > 1
+  SELECT domain, channel, count(*) AS n FROM (SELECT domain, batch_id AS channel FROM links WHERE order_status = 'F') GROUP BY 1, 2 HAVING count(*) > 1
 """, ("links",))
 def l06b(spark, d):
-    r = dv.links(spark, d).filter("content > 490000").select("domain", F.col("batch_id").alias("channel"), F.when(F.col("order_status") == "F", "active").otherwise("retired").alias("status"))
+    r = dv.links(spark, d).select("domain", F.col("batch_id").alias("channel"), F.when(F.col("order_status") == "F", "active").otherwise("retired").alias("status"))
     return lc.duplicate_active(r)
 
 
@@ -225,16 +225,16 @@ def l08b(spark, d):
 
 
 @query("l09_backfill_domain", """
-  WITH c AS (SELECT l_partkey AS asset_id, s_nationkey::VARCHAR AS domain FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49
-    UNION ALL SELECT p_partkey, CASE WHEN p_size < 10 THEN 'default' ELSE p_brand END FROM part WHERE p_size < 20)
+  WITH c AS (SELECT l_partkey AS asset_id, s_nationkey::VARCHAR AS domain FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+    UNION ALL SELECT p_partkey, CASE WHEN p_size < 10 THEN 'default' ELSE p_brand END FROM part)
   SELECT p_partkey AS asset_id, CASE count(DISTINCT domain) WHEN 0 THEN '__legacy_unscoped__' WHEN 1 THEN min(domain) ELSE '__legacy_shared__' END AS domain
   FROM part LEFT JOIN (SELECT * FROM c WHERE domain NOT IN ('', 'default')) ON asset_id = p_partkey GROUP BY 1
 """)
 def l09(spark, d):
-    li = dv.table(spark, d, "lineitem").filter("l_quantity >= 49").join(dv.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
+    li = dv.table(spark, d, "lineitem").join(dv.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
         F.col("l_partkey").alias("asset_id"), F.col("s_nationkey").cast("string").alias("domain"))
     p = dv.table(spark, d, "part")
-    own = p.filter("p_size < 20").select(F.col("p_partkey").alias("asset_id"), F.when(F.col("p_size") < 10, "default").otherwise(F.col("p_brand")).alias("domain"))
+    own = p.select(F.col("p_partkey").alias("asset_id"), F.when(F.col("p_size") < 10, "default").otherwise(F.col("p_brand")).alias("domain"))
     return lc.backfill_domain(p.select(F.col("p_partkey").alias("asset_id")), [li, own])
 
 

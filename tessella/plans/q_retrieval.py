@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
+from tessella.operators import dense as dn
+from tessella.operators import index as ix
 from tessella.operators import retrieval as rt
 from tessella.plans import derived as dv
 from tessella.plans.registry import fragment, query
@@ -44,13 +46,23 @@ TOP_SQL = """
 fragment("lexical", TOP_SQL.format("bm25", LIMIT), ("bm25",))
 
 
-def scored(spark, d):
-    """Every unit with a term of a question, before any cut."""
-    return rt.bm25(rt.query_terms(dv.questions(spark, d)), dv.units(spark, d))
+def unit_index(spark, d) -> ix.Index:
+    """The stored index of all units; written by the first query that needs it."""
+    return ix.stored_index(dv.units(spark, d), "units", ("doc_id", "lang", "unit_type", "title"))
 
 
-def lexical(spark, d, k: int = LIMIT):
-    return rt.top_k(scored(spark, d), k)
+def asked(spark, d):
+    return rt.query_terms(dv.questions(spark, d))
+
+
+def lexical(spark, d, k: int = LIMIT, keep=None):
+    return ix.search(unit_index(spark, d), asked(spark, d), k, keep)
+
+
+def only(units, condition: str):
+    """A scope: units of the index that meet a condition."""
+    ids = units.where(condition).select("unit_id")
+    return lambda found: found.join(ids, "unit_id", "left_semi")
 
 
 @query("r01_query_terms", "SELECT query_id, term FROM query_terms", ("query_terms",))
@@ -60,7 +72,7 @@ def r01(spark, d):
 
 @query("s09_search_vector", "SELECT unit_id, field, term, count(*) AS tf FROM field_tokens GROUP BY ALL", ("field_tokens",))
 def s09(spark, d):
-    return rt.postings(dv.units(spark, d))
+    return ix.field_terms(dv.units(spark, d))
 
 
 @query("r02_fulltext_search", "SELECT * FROM lexical", ("lexical",))
@@ -84,6 +96,20 @@ fragment("trigram", f"""
 """, ("query_texts", "units"))
 
 
+# The active release: documents of good quality. Units outside it are never candidates, whatever they score.
+fragment("released", "SELECT doc_id FROM labels WHERE quality = 1")
+
+
+@query("r02_released_search", f"""
+  WITH f AS (SELECT query_id, unit_id, score FROM bm25 JOIN units USING (unit_id) WHERE doc_id IN (SELECT doc_id FROM released))
+  {TOP_SQL.format("f", LIMIT)}
+""", ("bm25", "units", "released"))
+def r02_released(spark, d):
+    active = dv.table(spark, d, "labels").where("quality = 1").select("doc_id")
+    inside = unit_index(spark, d).vectors.join(active, "doc_id", "left_semi").select("unit_id")
+    return lexical(spark, d, keep=lambda found: found.join(inside, "unit_id", "left_semi"))
+
+
 @query("r03_trigram_similarity", TOP_SQL.format("trigram", LIMIT), ("trigram",))
 def r03(spark, d):
     return rt.top_k(rt.trigram_similarity(dv.questions(spark, d), dv.units(spark, d)), LIMIT)
@@ -152,9 +178,9 @@ _renamed("substring", "d_substring", "d_terms", "units", swaps=(("query_terms",
     WHERE query_id NOT IN (SELECT query_id FROM one) AND query_id NOT IN (SELECT query_id FROM two)
 """, ("d_bm25", "d_trigram", "d_substring"))
 def r05(spark, d):
-    u = dv.units(spark, d)
+    u, index = dv.units(spark, d), unit_index(spark, d)
     return rt.cascade(_damaged(spark, d), [
-        ("lexical_bm25", lambda q: rt.top_k(rt.bm25(rt.query_terms(q), u), 10)),
+        ("lexical_bm25", lambda q: ix.search(index, rt.query_terms(q), 10)),
         ("trigram_fallback", lambda q: rt.top_k(rt.trigram_similarity(q, u), 10)),
         ("like_fallback", lambda q: rt.top_k(rt.substring_hits(rt.query_terms(q), u), 10)),
     ])
@@ -171,7 +197,7 @@ def _scope(spark, d):
 
 
 def _facets(spark, d):
-    return dv.units(spark, d).select("unit_id", F.explode(F.array(
+    return unit_index(spark, d).vectors.select("unit_id", F.explode(F.array(
         F.struct(F.lit("semantic_role").alias("facet"), F.col("lang").alias("value")),
         F.struct(F.lit("block_type").alias("facet"), F.col("unit_type").alias("value")),
     )).alias("x")).select("unit_id", "x.facet", "x.value")
@@ -184,7 +210,8 @@ def _facets(spark, d):
   {TOP_SQL.format("f", LIMIT)}
 """, ("bm25", "units", "questions"))
 def r06(spark, d):
-    return rt.top_k(rt.facet_scope(scored(spark, d), _facets(spark, d), _scope(spark, d)), LIMIT)
+    facets, scope = _facets(spark, d), _scope(spark, d)
+    return lexical(spark, d, keep=lambda found: rt.facet_scope(found, facets, scope))
 
 
 # Chapters a question is limited to: the document titles that open with the question's first letter.
@@ -209,8 +236,9 @@ fragment("chapters", r"""
   {TOP_SQL.format("f", LIMIT)}
 """, ("bm25", "units", "chapters"))
 def r07(spark, d):
-    sections = dv.units(spark, d).select("unit_id", F.col("title").alias("section"))
-    return rt.top_k(rt.section_filter(scored(spark, d), sections, _chapters(spark, d)), LIMIT)
+    sections = unit_index(spark, d).vectors.select("unit_id", F.col("title").alias("section"))
+    chapters = _chapters(spark, d)
+    return lexical(spark, d, keep=lambda found: rt.section_filter(found, sections, chapters))
 
 
 @query("r08_relaxation_ladder", f"""
@@ -221,8 +249,9 @@ def r07(spark, d):
   SELECT t.*, level FROM ({TOP_SQL.format("g", LIMIT)}) t JOIN g USING (query_id, unit_id)
 """, ("bm25", "units"))
 def r08(spark, d):
-    u = dv.units(spark, d).select("unit_id", (F.col("lang") == "de").alias("in_scope"), (F.col("unit_type") == "heading").alias("in_section"))
-    return rt.top_k(rt.relaxation(scored(spark, d).join(u, "unit_id")), LIMIT).select("query_id", "unit_id", "score", "rank", "level")
+    index = unit_index(spark, d)
+    keeps = [only(index.vectors, "lang = 'de' AND unit_type = 'heading'"), only(index.vectors, "lang = 'de'"), None]
+    return ix.search_ladder(index, asked(spark, d), LIMIT, keeps).select("query_id", "unit_id", "score", "rank", "level")
 
 
 # One probe vector per label: the vector with the lowest id of that label.
@@ -241,7 +270,7 @@ DIM = 64
 """ + TOP_SQL.format("s", 20), ("probes",))
 def r09(spark, d):
     v = dv.table(spark, d, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vector"))
-    return rt.dense_top_k(probes(spark, d), v, 20, DIM)
+    return dn.cell_search(probes(spark, d), dn.build_cells(v, DIM), 20)
 
 
 @query("r10_dense_by_kind", """
@@ -252,7 +281,7 @@ def r10(spark, d):
     v = dv.table(spark, d, "embeddings").select(
         F.floor(F.col("vec_id") / 2).alias("unit_id"), F.col("embedding").alias("vector"),
         F.when(F.col("label") < 5, "raw_text").otherwise("generated_question").alias("text_kind"))
-    return rt.dense_by_kind(probes(spark, d), v, "raw_text", 20, DIM)
+    return dn.cell_search(probes(spark, d), dn.build_cells(v.where("text_kind = 'raw_text'"), DIM), 20)
 
 
 # Entity questions: one per nation, naming its overdrawn suppliers; nations without fall back to a part.
@@ -436,10 +465,9 @@ fragment("candidates", """
 
 def candidates(spark, d):
     """Route candidates of every question: lexical over all units, and over headings."""
-    u = dv.units(spark, d)
-    scored = rt.bm25(rt.query_terms(dv.questions(spark, d)), u)
-    headings = scored.join(u.filter("unit_type = 'heading'").select("unit_id"), "unit_id", "left_semi")
-    got = rt.run_routes(_plan(spark, d), {"lexical_bm25": scored, "heading": headings})
+    index, terms = unit_index(spark, d), asked(spark, d)
+    routes = {"lexical_bm25": ix.search(index, terms, 20), "heading": ix.search(index, terms, 10, only(index.vectors, "unit_type = 'heading'"))}
+    got = rt.run_routes(_plan(spark, d), routes)
     return got.select("query_id", "route", "unit_id", "score", "weight", "rank")
 
 
@@ -490,4 +518,4 @@ def r20(spark, d):
 """ + TOP_SQL.format("s", 5))
 def r09b(spark, d):
     v = dv.table(spark, d, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vector"))
-    return rt.dense_top_k(v.withColumnRenamed("unit_id", "query_id"), v, 5, DIM, max_shared_queries=100, block=256)
+    return dn.cell_search(v.withColumnRenamed("unit_id", "query_id"), dn.build_cells(v, DIM), 5)

@@ -135,12 +135,12 @@ def u07(spark, d):
 
 @query("u08_attach_embeddings", """
   SELECT unit_id AS unit_key, text, round(list_sum(embedding::DOUBLE[]), 5) AS vector_sum
-  FROM units JOIN embeddings ON doc_id = vec_id WHERE segment_index = 0 AND label <> 9
+  FROM units JOIN embeddings ON doc_id = vec_id WHERE label <> 9
 """, ("units",))
 def u08(spark, d):
-    u = dv.units(spark, d).filter("segment_index = 0").select(F.col("unit_id").alias("unit_key"), "text")
-    v = dv.table(spark, d, "embeddings").select(
-        F.concat_ws("#", "vec_id", F.lit("0")).alias("unit_key"),
-        F.when(F.col("label") == 9, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("vector"))
+    # Every unit of a document has the vector of the document's number; those of one label are cut short.
+    u = dv.units(spark, d).select(F.col("unit_id").alias("unit_key"), "doc_id", "text")
+    v = dv.table(spark, d, "embeddings").join(u.select(F.col("doc_id").alias("vec_id"), "unit_key"), "vec_id").select(
+        "unit_key", F.when(F.col("label") == 9, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("vector"))
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return un.attach_embeddings(u, v, 64).select("unit_key", "text", F.round(total, 5).alias("vector_sum"))
+    return un.attach_embeddings(u.drop("doc_id"), v, 64).select("unit_key", "text", F.round(total, 5).alias("vector_sum"))
