@@ -9,6 +9,8 @@ offsets by joins and windows.
 
 from __future__ import annotations
 
+import json
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +31,14 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
 
-def byte_encoding(path: str):
-    """The byte-level vocabulary, given as ranks, with no special tokens: their strings are ordinary text."""
+def special_tokens(path: str) -> dict[str, int]:
+    """Added special tokens of a vocabulary's JSON file. Their strings inside texts are these ids."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"] if t["special"]}
+
+
+def byte_encoding(path: str, special: dict[str, int] | None = None):
+    """The byte-level vocabulary, given as ranks; strings of special tokens that are not named are ordinary text."""
     import base64
 
     import public_tokenizers
@@ -38,18 +46,18 @@ def byte_encoding(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special or {})
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, special: dict[str, int] | None = None) -> DataFrame:
     """One row per piece of a document's ids, which end with ``end_id``. A null text is empty: one piece of one id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = byte_encoding(vocabulary)
+        encoding = byte_encoding(vocabulary, special)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encoding.encode_to_numpy(text.as_py() or "", disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(encoding.encode_to_numpy(text.as_py() or "", allowed_special="all"), end_id).astype("<u4")
                 out += [(doc_id, i, len(p), zlib.crc32(p.tobytes()), len(ids))
                         for i in range(0, len(ids), capacity) for p in [ids[i:i + capacity]]]
             yield rows(_ARROW, **dict(zip(_ARROW.names, zip(*out) if out else [[]] * 5)))
@@ -105,6 +113,8 @@ def plan_patterns(counts: dict[int, int], room: int = CLASSES, gap: float = 2e-4
             break
         ratio = np.where(fit, use / np.where(fit, step, 1), np.inf)
         basis[:, int(ratio.argmin())] = pattern
+    else:
+        warnings.warn(f"patterns priced {20 * len(widths)} times; the plan may take more sequences than its bound allows", stacklevel=2)
     use = np.floor(np.maximum(np.linalg.solve(basis, need), 0) + 1e-6)
     left = need.astype(np.int64)
     for j in np.argsort(-use, kind="stable"):
@@ -139,19 +149,20 @@ def _slots(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int,
     return out
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, special: dict[str, int] | None = None) -> DataFrame:
     """Pieces of all documents with their sequence and offset.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``docs`` needs doc_id and text;
-    other columns are ignored. Null or empty text: one piece with the end id alone. Repeated rows are packed as
-    often as they occur. An empty table gives an empty result.
+    other columns are ignored. ``special`` names strings that stand for one id each; any other is ordinary text. Null or
+    empty text: one piece with the end id alone. Repeated rows are packed as often as they occur. An empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
     unit = -(-capacity // CLASSES)
     room = capacity // unit
-    pieces = settle(cut_pieces(docs, vocabulary, capacity, end_id)
+    pieces = settle(cut_pieces(docs, vocabulary, capacity, end_id, special)
                     .withColumn("w", F.when(F.col("length") == capacity, F.lit(room)).otherwise(F.ceil(F.col("length") / unit)).cast("int"))
-                    .withColumn("b", bucket(BUCKETS, "doc_id", "start")))
+                    .withColumn("b", bucket(BUCKETS, "doc_id", "start", "ids_crc32")))
     sizes = pieces.groupBy("w", "b").count()
     counts = {r["w"]: r["n"] for r in sizes.groupBy("w").agg(F.sum("count").alias("n")).collect()}
     slots = spark.createDataFrame(_slots(plan_patterns(counts, room)), "w int, r0 long, r1 long, s0 long, a long")
@@ -169,4 +180,5 @@ def op10_packing(spark, sf_dir: str) -> DataFrame:
 
     from llm.common import table
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          special=special_tokens(public_tokenizers.path("byte_bpe_50k.json")))
