@@ -149,10 +149,16 @@ def _flat(bags: Bags, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, n
 
 
 def train(texts: list[str], toxic: np.ndarray, rounds: int = 4, epochs: int = 10, seed: int = 7) -> Model:
-    """Fit embeddings and softmax weights jointly (Adam), then the scale of document scores. Needs both classes."""
+    """Fit embeddings and softmax weights jointly (Adam), then the scale of document scores.
+
+    Without toxic examples every text scores 0, as nothing is known against it; without clean ones every text has the
+    share of toxic examples, smoothed.
+    """
     toxic = np.asarray(toxic, bool)
     size = 1 << BUCKETS_LOG2
-    if not toxic.any() or toxic.all():
+    if not toxic.any():
+        return Model(np.zeros(size, np.float32), 0.0, 1.0, -30.0)
+    if toxic.all():
         p = (toxic.sum() + 1) / (len(toxic) + 2)
         return Model(np.zeros(size, np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
@@ -227,12 +233,15 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 4, epochs: int = 10
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Train on at most sample_per_class labelled documents of each class. Null texts or labels take no part."""
+    """Train on at most sample_per_class labelled documents of each class. Null texts or labels take no part.
+
+    Of several texts of a doc_id the least in byte order counts, so that the sample is bounded by its ids.
+    """
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class) for c in (0, 1)]
     chosen = chosen[0].union(chosen[1])
-    sample = own.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    sample = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toPandas().sort_values(["doc_id", "text"])
     return train(sample["text"].tolist(), sample["toxic"].to_numpy() > 0)
 
 
@@ -264,8 +273,9 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = model.scores([t or "" for t in batch.column(arrow_text).to_pylist()])
-            yield batch.filter(pa.array(got < threshold))
+            texts = batch.column(arrow_text)
+            got = model.scores([t or "" for t in texts.to_pylist()])
+            yield batch.filter(pa.array((got < threshold) | np.asarray(texts.is_null())))
 
     return docs.mapInArrow(keep, fields)
 
