@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import settle, table
+from llm.common import row_key, settle, table
 from llm.setjoin import JOIN_WORDS, Threshold, matches, near_enough, sets_of, star_pairs, survey, verify, with_words
 from llm.words import Texts, slices
 
@@ -31,23 +31,25 @@ def line_items(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def removed_lines(texts: DataFrame, hundredths: int = 80) -> DataFrame:
-    """(doc, lines): numbers, from 0, of the lines of each document that repeat an earlier line.
+    """(doc, row, lines): numbers, from 0, of the lines of each row's text that repeat an earlier line.
 
-    Lines are ordered by document id, then by number. A line goes when an earlier line, kept or not, has a word set of
+    ``texts``: (doc_id, text, row), where row tells rows of one id with different texts apart. Lines are ordered by
+    document id, then by row, then by number. A line goes when an earlier line, kept or not, has a word set of
     Jaccard similarity at least hundredths / 100. Lines of equal sets are folded to the first. Each line is first
     checked against one other, that which is the earliest for most of its prefix tokens; only lines that found no match
     so meet the other earlier ones. Lines without words stay.
     """
     rule = Threshold(hundredths)
     surveyed = survey(texts, line_items, LONG, 18)
-    own = surveyed.where("slot is null and n > 0 and doc is not null").select("doc", "no", "s")
-    first = settle(own.groupBy("s").agg(F.min(F.struct("doc", "no")).alias("f")))
+    own = surveyed.where("slot is null and n > 0 and doc is not null").select("doc", "row", "no", "s")
+    first = settle(own.groupBy("s").agg(F.min(F.struct("doc", "row", "no")).alias("f")))
+    by_row = texts.where("doc_id is not null").select("row", "text")
     found = settle(matches(texts, line_items, surveyed, rule).join(first, "s"))
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs.where(~F.col("long")).select("a", "b").union(near_enough(pairs.where("long").select("a", "b"), surveyed, rule)))
-        needed = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct().join(first, "s").select("s", "f.doc", "f.no")
-        return verify(pairs, sets_of(texts, line_items, needed), rule)
+        needed = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct().join(first, "s").select("s", F.col("f.row").alias("doc"), "f.no")
+        return verify(pairs, sets_of(by_row, line_items, needed), rule)
 
     row = F.struct("f", "s", "n", "p", "g")
     star = settle(star_pairs(found, row, rule).select("a", "b", (F.least("na", "nb") >= LONG).alias("long")))
@@ -60,23 +62,25 @@ def removed_lines(texts: DataFrame, hundredths: int = 80) -> DataFrame:
     rest = rest.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), (F.least("x.n", "y.n") >= LONG).alias("long")).distinct().join(star, ["a", "b"], "left_anti")
     gone = decided.union(check(settle(rest)).select(F.col("b").alias("s"))).distinct().withColumn("gone", F.lit(True))
     fate = first.join(gone, "s", "left")
-    return own.join(fate, "s").where("gone or f.doc != doc or f.no != no").groupBy("doc").agg(F.collect_set("no").alias("lines"))
+    return own.join(fate, "s").where("gone or f.doc != doc or f.row != row or f.no != no").groupBy("doc", "row").agg(F.collect_set("no").alias("lines"))
 
 
 def dedupe_lines(docs: DataFrame, hundredths: int = 80) -> DataFrame:
     """``docs`` without repeated lines; all columns stay, text is shortened, and n_lines and n_removed are added.
 
     Needs doc_id and text. Null texts stay null and have no lines; a text whose lines all go becomes empty. Rows
-    without doc_id keep their text and remove nothing elsewhere. Rows of one doc_id count as one document: repeated
-    rows keep the same lines. Columns of the names added here are replaced.
+    without doc_id keep their text and remove nothing elsewhere. Repeated rows keep the same lines; rows of one doc_id
+    with different texts are different documents, in the order of a hash of the text. Columns of the names added
+    here are replaced.
     """
     text = F.col("text").cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    lines = removed_lines(texts, hundredths).select(F.col("doc").alias("_doc"), "lines")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row", row_key(F.col("doc_id"), F.col("text")))
+    lines = removed_lines(texts, hundredths).select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), "lines")
     parts = F.split(text, "\n", -1)
     numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("lines"))
     kept = F.transform(numbers, lambda i: F.get(parts, i))
-    joined = docs.join(lines, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    same = (F.col("doc_id").cast("long") == F.col("_doc")) & (row_key(F.col("doc_id"), text) == F.col("_row"))
+    joined = docs.join(lines, same, "left").drop("_doc", "_row")
     return joined.withColumns({
         "n_lines": F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long"),
         "n_removed": F.when(F.col("lines").isNull() | text.isNull(), 0).otherwise(F.size("lines")).cast("long"),
