@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import settle, table
+from llm.common import row_key, settle, table
 from llm.lines import dedupe_lines
-from llm.packing import pack_documents
+from llm.packing import pack_documents, special_tokens
 from llm.pii import replace_entities
 from llm.shingles import near_documents
 from llm.toxicity import drop_toxic, fit_in
@@ -36,11 +36,18 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies. Rows without doc_id stay."""
-    docs = docs.select(*COLUMNS)
+    """One row of each group of near copies: that of the smallest doc_id, then of the smallest hash of its text.
+
+    Texts of one doc_id that are no near copies of each other all stay. Of equal rows one stays, of rows that differ in
+    lang, source or n_chars alone the least. Rows without doc_id stay, and so do texts without words.
+    """
+    docs = docs.select(*COLUMNS).withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
     known = docs.where("doc_id is not null")
-    kept = near_documents(known).where("doc_id = component_id").select("doc_id").distinct()
-    return known.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS).union(docs.where("doc_id is null"))
+    classed = near_documents(known.select("doc_id", "text")).select("doc_id", "row", F.coalesce("set", "row").alias("set"))
+    kept = classed.groupBy("set").agg(F.min(F.struct("doc_id", "row")).alias("k"))
+    rows = known.join(kept.select(F.col("k.row").alias("_row"), F.col("k.doc_id").alias("doc_id")), ["doc_id", "_row"])
+    one = rows.groupBy("doc_id", "_row").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("r")).select("doc_id", "r.*")
+    return one.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +59,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          special=special_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [

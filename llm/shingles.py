@@ -6,17 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import settle, table
+from llm.common import release, row_key, settle, table
 from llm.components import components
 from llm.setjoin import JOIN_WORDS, Threshold, matches, near_enough, sets_of, star_pairs, survey, verify, with_words
 from llm.words import Texts, mix, slices, spans
 
 WORDS = 5
-#: Rounds in which components are checked against each other by one pair each, before all their pairs are.
-MERGES = 2
 
 
 def shingle_items(words: int = WORDS):
@@ -45,26 +43,38 @@ def _placed(found: DataFrame, links: DataFrame) -> DataFrame:
     return settle(found.join(classes, "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component"))
 
 
+def _next_pairs(placed: DataFrame, rule: Threshold) -> DataFrame:
+    """(y, a, b, k): for each set y a set of another component for each token that they share, k tokens in all.
+
+    It is the token's smallest set, or the smallest of those outside that set's component. Both are combinable minima.
+    """
+    y = F.struct("n", "s", "p", "g", "c")
+    own = placed.groupBy("t", "c").agg(F.min(y).alias("y"))
+    first = own.groupBy("t").agg(F.min("y").alias("x1"), F.count("*").alias("k")).where("k > 1").select("t", "x1")
+    heads = own.join(first, "t").where("y.c != x1.c").groupBy("t").agg(F.first("x1").alias("x1"), F.min("y").alias("x2"))
+    met = placed.select("t", y.alias("y")).join(heads, "t").select("y", F.when(F.col("y.c") == F.col("x1.c"), F.col("x2")).otherwise(F.col("x1")).alias("x"))
+    return met.where(rule.passes(F.col("x"), F.col("y"))).groupBy(F.col("y.s").alias("y"), F.col("x.s").alias("a")).agg(F.count("*").alias("k")).withColumn("b", F.col("y"))
+
+
 def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of every row.
 
     Documents link when their sets of word n-grams have a Jaccard similarity of at least hundredths / 100. First each
     set is checked against one other, that which is the smallest set for most of its tokens; what is linked then forms
-    components.
-    Pairs
-    within a component need no check any more; all other pairs that pass the filters get one. So a group of near
-    copies costs a star, not its square, and no link between components is lost.
+    components. In rounds each set that shares tokens with other components is checked against one set of them, not checked yet,
+    until a round links nothing. Pairs within a component need no check any more; all other pairs that pass the filters get one. So a
+    group of near copies costs some stars, not its square, and no link between components is lost.
 
     ``docs`` needs doc_id and text; other columns are ignored. Null or empty texts have no shingles and link with
     nothing. Rows without doc_id link by their text and get the smallest doc_id of their component. Repeated rows stay.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # A set's tokens are cut again out of one row that has it. Rows of one hash do no harm: both are cut, and the set is told by its name.
-    keyed = own.withColumn("row", F.xxhash64("doc_id", "text"))
+    keyed = own.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     texts = keyed.select("row", "text")
     rule, items = Threshold(hundredths), shingle_items(words)
     surveyed = survey(keyed, items, parities_from=1)
-    rows = surveyed.where("slot is null").select("doc", "no", "s", "n")
+    rows = surveyed.where("slot is null").select("doc", "s", "n", "row")
     found = matches(texts, items, surveyed, rule)
     first = surveyed.where("n > 0").groupBy("s").agg(F.min("row").alias("doc"), F.lit(0).alias("no"))
 
@@ -73,27 +83,33 @@ def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) ->
         needed = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct().join(first, "s")
         return verify(pairs, sets_of(texts, items, needed), rule)
 
-    star = settle(star_pairs(found, F.struct("n", "s", "p", "g"), rule).select("a", "b"))
-    links = check(star)
-    for _ in range(MERGES):
+    def sorted_pairs(a: str, b: str) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    tested = settle(star_pairs(found, F.struct("n", "s", "p", "g"), rule).select(*sorted_pairs("a", "b")).distinct())
+    links = check(tested)
+    while True:
         placed = _placed(found, links)
-        own = placed.groupBy("t", "c").agg(F.min(F.struct("n", "s", "p", "g", "c")).alias("y"))
-        heads = own.groupBy("t").agg(F.min("y").alias("x"))
-        met = own.join(heads, "t").where("x.c != y.c").where(rule.passes(F.col("x"), F.col("y")))
-        shared = met.groupBy("c", F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.count("*").alias("k"))
-        pairs = settle(shared.groupBy("c").agg(F.max(F.struct("k", "a", "b")).alias("m")).select("m.a", "m.b").join(star, ["a", "b"], "left_anti"))
-        links, star = links.union(check(pairs)), star.union(pairs)
+        pairs = settle(_next_pairs(placed, rule).select(*sorted_pairs("a", "b"), "y", "k").join(tested, ["a", "b"], "left_anti")
+                       .groupBy("y").agg(F.max(F.struct("k", "a", "b")).alias("m")).select("m.a", "m.b").distinct())
+        release(placed)
+        fresh = check(pairs)
+        tested = tested.union(pairs)
+        if fresh.isEmpty():
+            break
+        links = links.union(fresh)
     placed = _placed(found, links)
     mixed = placed.groupBy("t").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("t")
     side = with_words(placed.join(mixed, "t"), surveyed)
     x = side.select("t", F.struct("n", "s", "p", "g", "c", "w").alias("x"))
     y = side.select("t", F.struct("n", "s", "p", "g", "c", "w").alias("y"))
     cross = x.join(y, "t").where("x.c != y.c and (x.n < y.n or (x.n = y.n and x.s < y.s))").where(rule.passes(F.col("x"), F.col("y"), JOIN_WORDS))
-    more = check(cross.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    more = check(cross.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).select(*sorted_pairs("a", "b")).distinct().join(tested, ["a", "b"], "left_anti"))
     classes = components(links.union(more)).withColumnRenamed("id", "s")
     named = rows.join(classes, "s", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "s")))
     least = named.where("c is not null").groupBy("c").agg(F.min("doc").alias("component_id"))
-    return named.join(least, "c", "left").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    return named.join(least, "c", "left").select(
+        F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"), "row", F.col("c").alias("set"))
 
 
 def op8_near_documents(spark, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_stages_and_run(spark, folder):
     assert clean.columns == columns
     kept = {r["doc_id"]: r["text"] for r in clean.collect()}
     model = toxicity.fit_in(docs, spark, folder)
-    assert kept == {i: t for i, t in before.items() if model.scores([t or ""])[0] < toxicity.THRESHOLD}
+    assert kept == {i: t for i, t in before.items() if t is None or model.scores([t])[0] < toxicity.THRESHOLD}
     bad = {i for i, t in before.items() if t and re.search("blorkhead|snargface|vileworm", t)}
     assert len(bad & set(kept)) <= .05 * len(bad) and len(set(before) - bad - set(kept)) <= .03 * len(before)
 
@@ -106,3 +106,15 @@ def test_stages_and_run(spark, folder):
     assert all(ends[r["doc_id"]] == r["doc_tokens"] for r in pieces)
     assert set(ends) <= set(kept) and 500 in ends and ends[500] == 1
     assert len(encoding.encode_ordinary("x")) == 1
+
+
+def test_near_copies_by_row(spark):
+    """Texts of one id are told apart; of equal rows one stays; rows without id or words stay."""
+    base = " ".join(f"w{i}" for i in range(60))
+    near, other = base.replace("w59", "x"), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, base, "en"), (7, near, "en"), (7, other, "en"), (7, other, "de"), (7, other, "en"), (8, "", "en"), (8, None, "en"), (9, "", "en"), (None, base, "en"), (3, base, "en")]
+    docs = spark.createDataFrame([(*r, "s", 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.lang) for r in got.collect()), key=str) == sorted(
+        [(1, base, "en"), (7, other, "de"), (8, "", "en"), (8, None, "en"), (9, "", "en"), (None, base, "en")], key=str)

@@ -142,6 +142,16 @@ def test_lines(docs, empty, corpus):
     assert lines.dedupe_lines(empty).count() == 0
 
 
+def test_lines_of_one_id_with_two_texts(spark):
+    """Texts that share an id share no fate; equal rows do."""
+    rows = [(1, "alpha beta gamma delta\nother words of document one"), (7, "first line of seven here\nalpha beta gamma delta"),
+            (7, "other words stand in this\nsecond line nobody else has"), (7, "other words stand in this\nsecond line nobody else has")]
+    got = lines.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    kept = {t for i, t in rows_of(got, "doc_id", "text")}
+    assert "first line of seven here" in kept and rows[0][1] in kept
+    assert rows_of(got.where("text like 'other words stand%'"), "doc_id", "text") == {(7, rows[2][1]): 2}
+
+
 # -- passages -------------------------------------------------------------------------------------------------------
 
 def test_passages(docs, empty, corpus):
@@ -230,14 +240,19 @@ def test_patterns_take_every_piece_and_little_room(counts):
     assert sum(n for n, _ in plan) <= 1.25 * size / 64 + 2 + sum(n for w, n in counts.items() if w > 32) or small == 0
 
 
-def test_packing(docs, empty, corpus):
+def test_packing(spark, docs, empty, corpus):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    special = packing.special_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    assert special == {"<|endoftext|>": 50256}
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    got = packing.pack_documents(docs, path, capacity=256).collect()
+    odd = [(1000, "a<|endoftext|>b"), (1001, "two <|endoftext|>  <|endoftext|> x <|endoftext"), (1002, "<|endoftext|>")]
+    corpus = [*corpus, *odd]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = packing.pack_documents(docs, path, capacity=256, special=special).collect()
     ids = {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for i, t in corpus}
+    assert ids[1000] == [64, 50256, 65, 1]
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
         by_doc[r["doc_id"]].append(r)
@@ -331,6 +346,14 @@ def test_toxicity_learns_and_bears_misspellings(spark, docs, empty):
     assert toxicity.fit(empty, labels.limit(0)).scores(["a"]).shape == (1,)
 
 
+def test_without_toxic_labels_nothing_is_rejected(spark, docs):
+    for marks in ([], [(1, 1, 0)], [(i, 1, 0) for i in range(9)]):
+        model = toxicity.fit(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+        assert toxicity.drop_toxic(docs, model).count() == docs.count()
+    assert toxicity.drop_toxic(docs, toxicity.train(["x"], [True])).where("text is not null").count() == 0
+    assert toxicity.drop_toxic(docs, toxicity.train(["x"], [True])).count() == docs.where("text is null").count()
+
+
 def test_ngrams_stay_inside_their_word():
     bags = toxicity.Bags(["ab, Cde", "", "ab"])
     # <ab ab> <ab> | <cd cde de> <cde cde> <cde> | the same for the last text.
