@@ -84,7 +84,7 @@ def fit_centres(vectors: DataFrame, lists: int, sample: int, rounds: int = 8, se
     return centres
 
 
-def scan_block(q: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int, own: np.ndarray | None = None, steps: int = 4, z: float = 3.0) -> tuple[np.ndarray, np.ndarray, int]:
+def scan_block(q: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int, own: np.ndarray | None = None, steps: int = 8, z: float = 3.0) -> tuple[np.ndarray, np.ndarray, int]:
     """Adaptive dimension scan of one block: pairs (row of q, row of x) that may be among the k nearest.
 
     q and x are rotated, so a prefix of the columns is a random sample of directions. After each column block the
@@ -93,8 +93,9 @@ def scan_block(q: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int, own: np.
     floor rises to the k-th best of the pairs that were scanned to the end. Third result: components multiplied.
     """
     size = q.shape[1]
-    ends = [size * (i + 1) // steps for i in range(steps)]
-    d = max(1, ends[0])
+    # The first column block is two steps wide: fewer columns hardly ever rule a pair out.
+    ends = sorted({max(1, size * i // steps) for i in range(2, steps + 1)})
+    d = ends[0]
     part = q[:, :d] @ x[:, :d].T
     cost = part.size * d
     qn, xn = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
