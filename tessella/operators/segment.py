@@ -1,22 +1,16 @@
-"""Segmentation of block rows: grouping, clean-up, merging, splitting, breadcrumbs, identifiers."""
+"""Segmentation of block rows: grouping, clean-up, breadcrumbs, identifiers; the ordered folds are in ``folds``."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
+from tessella.operators.folds import TYPE_PRIORITY
 
 # Fixed values.
-MERGE_BELOW, MERGE_MAX, TABLE_ALONE = 100, 512, 300
-MIN_CHUNK, MAX_CHUNK = 128, 512
 ALONE = ("table", "html_table", "code", "list", "blockquote")
-RIGID = ("table", "html_table", "code")
-TYPE_PRIORITY = {"table": 4, "html_table": 4, "list": 3, "code": 2, "blockquote": 1, "paragraph": 1, "raw_html": 1, "unknown": 0}
 
 
 def group_blocks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -69,150 +63,3 @@ def reindex(segments: DataFrame, order: list[str], key: str = "doc_id") -> DataF
     w = W.partitionBy(key).orderBy(*order)
     s = segments.withColumn("segment_index", F.row_number().over(w) - 1)
     return s.withColumn("segment_key", F.concat_ws("#", key, "segment_index")).withColumn("segment_id", F.sha2("segment_key", 256))
-
-
-# --- ordered folds over one document's segments ----------------------------------------------------
-
-
-def _count(text: str) -> int:
-    words = cjk = 0
-    inside = False
-    for ch in text:
-        if "一" <= ch <= "鿿":
-            cjk, inside = cjk + 1, False
-        elif ch.isalnum():
-            words, inside = words + (not inside), True
-        else:
-            inside = False
-    return words + round(cjk * 1.5)
-
-
-def _pick(a: str, b: str) -> str:
-    return a if TYPE_PRIORITY.get(a, 0) >= TYPE_PRIORITY.get(b, 0) else b
-
-
-def _glue(first: dict, second: dict, kind: str) -> dict:
-    text = first["text"] + "\n\n" + second["text"]
-    return {**first, "text": text, "type": kind, "n": _count(text)}
-
-
-def merge_small(segs: list[dict]) -> list[dict]:
-    """Fold short neighbours of one section together; big tables and code stay alone."""
-    out: list[dict] = []
-    for s in segs:
-        p = out[-1] if out else None
-        if p is not None and p["path"] == s["path"] and p["n"] + s["n"] <= MERGE_MAX:
-            table = s["type"] in ("table", "html_table")
-            intro = (p["type"] == "paragraph" and p["n"] < MERGE_BELOW and s["type"] in ("list", "table", "html_table")
-                     and not (table and s["n"] > TABLE_ALONE))
-            back = s["n"] < MERGE_BELOW and s["type"] not in RIGID and p["type"] not in RIGID
-            if intro or back:
-                out[-1] = _glue(p, s, _pick(p["type"], s["type"]))
-                continue
-        out.append(s)
-    return out
-
-
-def absorb_orphans(segs: list[dict]) -> list[dict]:
-    """Move short segments, last first, into the nearest segment of the closest ancestor section that has room."""
-    segs = list(segs)
-    short = [i for i, s in enumerate(segs) if s["n"] < MIN_CHUNK and s["type"] not in RIGID]
-    by_path: dict[tuple, list[int]] = {}
-    for i, s in enumerate(segs):
-        by_path.setdefault(s["path"], []).append(i)
-    gone: set[int] = set()
-    for i in reversed(short):
-        lone = segs[i]
-        for depth in range(len(lone["path"]) - 1, -1, -1):
-            near = [j for j in by_path.get(lone["path"][:depth], ()) if j not in gone and j != i]
-            if not near:
-                continue
-            j = min(near, key=lambda x: (abs(x - i), x))
-            if segs[j]["n"] + lone["n"] > MAX_CHUNK or segs[j]["type"] in RIGID:
-                continue
-            segs[j] = _glue(segs[j], lone, _pick(segs[j]["type"], lone["type"]))
-            gone.add(i)
-            break
-    return [s for i, s in enumerate(segs) if i not in gone]
-
-
-def merge_lead_ins(segs: list[dict]) -> list[dict]:
-    """Fold a short paragraph forward when the next segment lies above or below it in the same lineage."""
-    if len(segs) < 2:
-        return segs
-    out, held = [], None
-    for s in segs:
-        if held is not None:
-            depth = min(len(held["path"]), len(s["path"]))
-            kin = held["path"] != s["path"] and held["path"][:depth] == s["path"][:depth]
-            if kin and s["type"] not in RIGID and held["n"] + s["n"] <= MAX_CHUNK:
-                text = held["text"] + "\n\n" + s["text"]
-                s = {**s, "text": text, "n": _count(text)}
-            else:
-                out.append(held)
-            held = None
-        if s["type"] == "paragraph" and s["n"] < MIN_CHUNK:
-            held = s
-        else:
-            out.append(s)
-    return out + ([held] if held is not None else [])
-
-
-def _pack(parts: list[str], limit: int, glue: str) -> list[str]:
-    packs, room = [], 0
-    for part in parts:
-        n = _count(part)
-        if packs and room + n <= limit:
-            packs[-1].append(part)
-            room += n
-        else:
-            packs.append([part])
-            room = n
-    return [glue.join(p) for p in packs]
-
-
-def split_large(segs: list[dict], limit: int = MAX_CHUNK) -> list[dict]:
-    """Cut long segments at paragraphs, then at sentence ends, packing greedily up to the limit."""
-    out = []
-    for s in segs:
-        if s["n"] <= limit:
-            out.append(s)
-            continue
-        run: list[str] = []
-        texts: list[str] = []
-        for para in [*s["text"].split("\n\n"), None]:
-            if para is None or _count(para) > limit:
-                texts += _pack(run, limit, "\n\n") if run else []
-                run = []
-                if para is not None:
-                    sentences = [x.strip() for x in re.split(r"(?<=[。！？\n])", para) if x.strip()]
-                    texts += _pack(sentences, limit, "")
-            else:
-                run.append(para)
-        out += [{**s, "text": t, "n": _count(t)} for t in texts if t.strip()]
-    return out
-
-
-FOLDS = {"merge_small": merge_small, "absorb_orphans": absorb_orphans, "merge_lead_ins": merge_lead_ins, "split_large": split_large}
-
-
-def fold_segments(documents: DataFrame, steps: tuple[str, ...] = tuple(FOLDS), key: str = "doc_id") -> DataFrame:
-    """Run the ordered folds on rows that hold a whole document's segments.
-
-    ``documents``: (key, segments ARRAY<STRUCT<type, path ARRAY<STRING>, text>>). The segments travel inside
-    the document's row, as its text did, so there is no shuffle and no group to gather.
-    """
-    key_type = documents.schema[key].dataType.simpleString()
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for k, segs in zip(pdf[key], pdf["segments"]):
-                rows = [{"type": s["type"], "path": tuple(s["path"]), "text": s["text"], "n": _count(s["text"])} for s in segs]
-                for step in steps:
-                    rows = FOLDS[step](rows)
-                out += [(k, i, s["type"], list(s["path"]), s["text"], s["n"]) for i, s in enumerate(rows)]
-            yield pd.DataFrame(out, columns=[key, "segment_index", "block_type", "path", "raw_text", "token_count"])
-
-    return documents.select(key, "segments").mapInPandas(
-        run, f"{key} {key_type}, segment_index int, block_type string, path array<string>, raw_text string, token_count int")

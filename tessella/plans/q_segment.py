@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
+from tessella.operators import folds as fd
 from tessella.operators import segment as sg
 from tessella.plans import derived as dv
 from tessella.plans.q_structure import blocks, with_paths
@@ -52,24 +53,40 @@ def document_segments(spark, d):
     return s.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("segments"))
 
 
-@query("g03_merge_small")
+@query("g03_merge_small", """
+  SELECT * FROM (
+    WITH RECURSIVE s AS MATERIALIZED (
+      SELECT b.doc_id, b.block_type, coalesce(path, '') AS path, b.text, b.token_count AS n, row_number() OVER (PARTITION BY b.doc_id ORDER BY b.block_index) AS i
+      FROM blocks b JOIN section_paths p ON b.doc_id = p.doc_id AND b.block_index = p.block_index WHERE NOT is_heading),
+    r AS (SELECT doc_id, i, path, block_type, n, 0 AS segment_index FROM s WHERE i = 1
+      UNION ALL SELECT doc_id, i, path, CASE WHEN joins AND old_rank >= new_rank THEN old_type ELSE block_type END, CASE WHEN joins THEN old_n + n ELSE n END, segment_index + CASE WHEN joins THEN 0 ELSE 1 END
+      FROM (SELECT s.*, r.block_type AS old_type, r.n AS old_n, segment_index,
+              CASE r.block_type WHEN 'table' THEN 4 WHEN 'list' THEN 3 ELSE 1 END AS old_rank, CASE s.block_type WHEN 'table' THEN 4 WHEN 'list' THEN 3 ELSE 1 END AS new_rank,
+              r.path = s.path AND r.n + s.n <= 512 AND (
+                (r.block_type = 'paragraph' AND r.n < 100 AND (s.block_type = 'list' OR (s.block_type = 'table' AND s.n <= 300)))
+                OR (s.n < 100 AND s.block_type <> 'table' AND r.block_type <> 'table')) AS joins
+            FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1))
+    SELECT r.doc_id, r.segment_index, arg_max(r.block_type, r.i) AS block_type, min(r.path) AS path, string_agg(text, chr(10) || chr(10) ORDER BY r.i) AS raw_text, max(r.n) AS token_count
+    FROM r JOIN s ON r.doc_id = s.doc_id AND r.i = s.i GROUP BY 1, 2)
+""", ("blocks", "section_paths"))
 def g03(spark, d):
-    return sg.fold_segments(document_segments(spark, d), ("merge_small",))
+    merged = fd.fold_segments(document_segments(spark, d), ("merge_small",))
+    return merged.withColumn("path", F.array_join("path", " > "))
 
 
 @query("g04_absorb_orphans")
 def g04(spark, d):
-    return sg.fold_segments(document_segments(spark, d), ("merge_small", "absorb_orphans"))
+    return fd.fold_segments(document_segments(spark, d), ("merge_small", "absorb_orphans"))
 
 
 @query("g05_merge_lead_ins")
 def g05(spark, d):
-    return sg.fold_segments(document_segments(spark, d), ("merge_small", "absorb_orphans", "merge_lead_ins"))
+    return fd.fold_segments(document_segments(spark, d), ("merge_small", "absorb_orphans", "merge_lead_ins"))
 
 
 @query("g06_split_large")
 def g06(spark, d):
-    return sg.fold_segments(document_segments(spark, d))
+    return fd.fold_segments(document_segments(spark, d))
 
 
 @query("g07_breadcrumbs", """

@@ -1,15 +1,21 @@
 """Text functions, HTML and Markdown parsing, ordered segment folds: exact expected values."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
 from tessella.operators import context as cx
 from tessella.operators import dedup as dd
-from tessella.operators import segment as sg
+from tessella.operators import folds as fd
 from tessella.operators import structure as st
 from tessella.operators import units as un
 
 
+def plain_count(text):
+    return len(re.findall("[^\\W_\u4e00-\u9fff]+", text)) + round(1.5 * len(re.findall("[\u4e00-\u9fff]", text)))
+
+
 def one(spark, expr, **cols):
     df = spark.range(1).select(*[F.lit(v).alias(k) for k, v in cols.items()])
     return df.select(expr.alias("x")).first()["x"]
@@ -22,7 +28,7 @@ def test_tokens_and_counts(spark):
     assert one(spark, tx.token_count(t), t="one 会话中 two three") == 7
     assert one(spark, tx.token_count(t), t="") == 0
     for text in ("one 会话中 two three", "a_b-c d1", "中 x", ""):
-        assert one(spark, tx.token_count(t), t=text) == sg._count(text)
+        assert one(spark, tx.token_count(t), t=text) == plain_count(text)
 
 
 def test_snapshot_text(spark):
@@ -96,41 +102,73 @@ def test_clause_numbers(spark):
     assert one(spark, c, t="5G core") is None and one(spark, c, t="Scope") is None
 
 
+def words(n):
+    return " ".join(["w"] * n)
+
+
 def seg(text, kind="paragraph", path=("A",)):
-    return {"type": kind, "path": tuple(path), "text": text, "n": sg._count(text)}
+    return kind, list(path), text
 
 
-def words(n):
-    return " ".join(["w"] * n)
+def folded(spark, segs, *steps):
+    df = spark.createDataFrame([(1, segs), (2, [])], "doc_id int, segments array<struct<type string, path array<string>, text string>>")
+    rows = fd.fold_segments(df, steps).collect()
+    assert all(r.doc_id == 1 for r in rows) and sorted(r.segment_index for r in rows) == list(range(len(rows)))
+    return sorted(rows, key=lambda r: r.segment_index)
+
 
+def test_merge_small(spark):
+    out = folded(spark, [seg(words(10)), seg(words(20)), seg(words(5), path=("B",)), seg(words(50), "table", ("B",)), seg(words(400), "table", ("B",)), seg(words(9), "code", ("B",))], "merge_small")
+    assert [(r.block_type, r.token_count) for r in out] == [("paragraph", 30), ("table", 55), ("table", 400), ("code", 9)]
+    assert out[0].raw_text == words(10) + "\n\n" + words(20) and [list(r.path) for r in out] == [["A"], ["B"], ["B"], ["B"]]
 
-def test_merge_small():
-    out = sg.merge_small([seg(words(10)), seg(words(20)), seg(words(5), path=("B",)), seg(words(50), "table", ("B",)), seg(words(400), "table", ("B",)), seg(words(9), "code", ("B",))])
-    assert [(s["type"], s["n"]) for s in out] == [("paragraph", 30), ("table", 55), ("table", 400), ("code", 9)]
 
+def test_merge_small_respects_the_cap(spark):
+    assert len(folded(spark, [seg(words(450)), seg(words(90))], "merge_small")) == 2
+    # 60 CJK characters count as 90 tokens; counts of a merged cell add up before they are rounded.
+    assert [r.token_count for r in folded(spark, [seg("会"), seg("会"), seg("会 w")], "merge_small")] == [5]
+    assert len(folded(spark, [seg(words(430)), seg("会" * 60)], "merge_small")) == 2
 
-def test_merge_small_respects_the_cap():
-    assert len(sg.merge_small([seg(words(450)), seg(words(90))])) == 2
 
+def test_a_list_takes_its_lead_and_a_big_table_does_not(spark):
+    out = folded(spark, [seg(words(5)), seg(words(150), "list"), seg(words(4)), seg(words(301), "table"), seg(words(4)), seg(words(200))], "merge_small")
+    assert [(r.block_type, r.token_count) for r in out] == [("list", 159), ("table", 301), ("paragraph", 4), ("paragraph", 200)]
 
-def test_absorb_orphans_takes_nearest_ancestor_with_room():
+
+def test_absorb_orphans_takes_nearest_ancestor_with_room(spark):
     segs = [seg(words(300), path=("A",)), seg(words(200), path=("A", "B")), seg(words(20), path=("A", "B", "C")), seg(words(20), "table", ("A", "B", "C"))]
-    out = sg.absorb_orphans(segs)
-    assert [s["n"] for s in out] == [300, 220, 20]
+    out = folded(spark, segs, "absorb_orphans")
+    assert [r.token_count for r in out] == [300, 220, 20]
+    assert out[1].raw_text == words(200) + "\n\n" + words(20)
     full = [seg(words(500), path=("A",)), seg(words(50), path=("A", "B"))]
-    assert [s["n"] for s in sg.absorb_orphans(full)] == [500, 50]
+    assert [r.token_count for r in folded(spark, full, "absorb_orphans")] == [500, 50]
+
 
+def test_orphans_move_last_first_and_take_what_they_absorbed_along(spark):
+    segs = [seg("root " + words(199), path=()), seg("one", path=("A",)), seg("two", path=("A", "B")), seg("three", path=("C",))]
+    out = folded(spark, segs, "absorb_orphans")
+    assert [r.raw_text for r in out] == ["\n\n".join(["root " + words(199), "three", "one", "two"])]
+    # Equally near hosts: the earlier one.
+    near = [seg(words(150), path=("A",)), seg("x", path=("A", "B")), seg(words(160), path=("A",))]
+    assert [r.token_count for r in folded(spark, near, "absorb_orphans")] == [151, 160]
 
-def test_merge_lead_ins():
+
+def test_merge_lead_ins(spark):
     segs = [seg("Parts:", path=("A",)), seg(words(200), path=("A", "B")), seg("Tail", path=("C",)), seg(words(5), "table", ("C", "D"))]
-    out = sg.merge_lead_ins(segs)
-    assert out[0]["text"].startswith("Parts:\n\nw") and [s["type"] for s in out] == ["paragraph", "paragraph", "table"]
+    out = folded(spark, segs, "merge_lead_ins")
+    assert out[0].raw_text.startswith("Parts:\n\nw") and [r.block_type for r in out] == ["paragraph", "paragraph", "table"]
+    assert [r.raw_text for r in folded(spark, [seg("a", path=("A",)), seg("b", path=("A", "B")), seg("c", path=("A",))], "merge_lead_ins")] == ["a\n\nb\n\nc"]
 
 
-def test_split_large():
+def test_split_large(spark):
     long = "\n\n".join([words(300), words(300), "。".join([words(200)] * 4)])
-    out = sg.split_large([seg(long), seg("x")])
-    assert [s["n"] for s in out] == [300, 300, 400, 400, 1]
+    out = folded(spark, [seg(long), seg("x")], *fd.STEPS[-1:])
+    assert [r.token_count for r in out] == [300, 300, 400, 400, 1]
+
+
+def test_all_folds_run_on_one_row(spark):
+    segs = [seg("Intro", path=("A",)), seg(words(700), path=("A", "B")), seg("t " * 20, "table", ("A", "B")), seg("end.", path=("Z",))]
+    assert [r.token_count for r in folded(spark, segs, *fd.STEPS)] == [1, 700, 20, 1]
 
 
 def test_entity_cards_limit_moves_on():
@@ -138,9 +176,25 @@ def test_entity_cards_limit_moves_on():
     assert un._claim(refs, 2) == [0, 1, 4]
 
 
-def test_summary_keeps_original_order():
-    text = "alpha beta.! gamma delta! query words here! omega"
-    assert cx._summary(text, 34, "query words") == "alpha beta.! query words here!"
-    assert cx._summary("one sentence only", 5, "q x") == "one s..."
+def summary(spark, text, allowed, query, keywords=None):
+    """The summary of one item that is too long beside a seed that fills its query's budget."""
+    items = spark.createDataFrame([(1, "s", "seed", "x" * 100), (1, "o", "support", text)], "query_id int, item_id string, role string, text string")
+    columns = "query_id int, query string" + (", keywords array<string>" if keywords else "")
+    queries = spark.createDataFrame([(1, query, keywords)[:3 if keywords else 2]], columns)
+    b = cx.compress(items, queries, max_chars=1).where("role <> 'seed'")
+    assert allowed == 100
+    return b.first().text
+
+
+def test_summary_keeps_original_order(spark):
+    pad = "z" * 60
+    text = f"alpha beta.! {pad} gamma delta! query words here! {pad} omega!"
+    assert summary(spark, text, 100, "query words") == f"alpha beta.! query words here! {pad} omega!"
+    assert summary(spark, text, 100, "xx", ["alpha", "beta"]) == f"alpha beta.! {pad} gamma delta!"
+    # One sentence, or nothing to look for: the text is truncated.
+    assert summary(spark, "q" * 120, 100, "query") == "q" * 100 + "..."
+    assert summary(spark, text, 100, "q") == text[:100] + "..."
     # Nothing fits: the best sentence is cut.
-    assert cx._summary("aaaa bbbb cccc! query words are here!", 6, "query words") == "query "
+    long = "a" * 110 + "! query " + "b" * 110 + "!"
+    assert summary(spark, long, 100, "query") == ("query " + "b" * 110 + "!")[:100]
+
