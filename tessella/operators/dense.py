@@ -148,13 +148,16 @@ def _meet(cells: Cells, asked: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(meet, f"query_id {q_kind}, unit_id {id_kind}, score double")
 
 
-def cell_search(queries: DataFrame, cells: Cells, k: int, least: float = -2.0) -> DataFrame:
+def cell_search(queries: DataFrame, cells: Cells, k: int, least: float = -2.0, active: DataFrame | None = None) -> DataFrame:
     """The k nearest units of every query by cosine, ties to the smaller id: (query_id, unit_id, score, rank).
 
     Scores are rounded to six decimals; none is below ``least``. Of several vectors of a unit the nearest counts. Queries of the wrong size, and
-    vectors with null or non-finite numbers, take no part. With a ``group`` column only vectors of the query's group count.
+    vectors with null or non-finite numbers, take no part. ``active`` (unit_id) is the released scope: only its units are met,
+    so the best k are the best in scope. With a ``group`` column only vectors of the query's group count.
     """
     dim, centres = cells.dim, cells.centres
+    if active is not None:
+        cells = cells._replace(parts=cells.parts.join(active.select("unit_id").distinct(), "unit_id", "left_semi"))
     group = F.coalesce(F.col("group").cast("string"), F.lit("")) if "group" in queries.columns else F.lit("")
     q = queries.where(_usable(queries, dim)).select(group.alias("g"), "query_id", F.col("vector").cast("array<double>").alias("vector"))
     q_kind = q.schema["query_id"].dataType.simpleString()

@@ -6,6 +6,7 @@ always rounds the score and ends with the unit id, so results do not depend on t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -45,6 +46,8 @@ EXPANSION_BUDGET = 20
 K1, B = 1.2, 0.75
 #: A node of more edges is a hub: its edges lie in chunks of about so many.
 HUB_EDGES = 50_000
+#: A scope: takes candidates (query_id, unit_id, ...) and returns those inside it.
+Keep = Callable[[DataFrame], DataFrame]
 OUTSIDE = -2.0  # below any cosine: marks a vector of another group
 
 
@@ -135,14 +138,15 @@ def trigrams(text: Column) -> Column:
     return F.when(F.size(toks) > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
-def trigram_similarity(queries: DataFrame, units: DataFrame, threshold: float = 0.3, max_shared: int = 1_000_000) -> DataFrame:
+def trigram_similarity(queries: DataFrame, units: DataFrame, threshold: float = 0.3, max_shared: int = 1_000_000,
+                       keep: Keep | None = None) -> DataFrame:
     """Units whose trigram set overlaps the query's by at least ``threshold`` (Jaccard); exact.
 
     A unit that similar shares one of the query's n - ceil(threshold n) + 1 rarest trigrams, so only these, by their
     frequency in the corpus, are looked for; sizes that cannot reach the threshold are dropped in the join. What a pair
     shares of them, with all other trigrams of the query on top, must reach the overlap that both sizes ask for. Pairs that
-    are left are verified once, where the unit's text lies. Neither text nor trigrams of units are shuffled unless
-    queries or pairs are more than ``max_shared``.
+    are left and that ``keep`` lets through are verified once, where the unit's text lies. Neither text nor trigrams of units
+    are shuffled unless queries or pairs are more than ``max_shared``.
     """
     def share(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if at_most(df, max_shared) else df
@@ -160,7 +164,8 @@ def trigram_similarity(queries: DataFrame, units: DataFrame, threshold: float =
     need = (F.col("nq") + F.col("nu")) * (threshold / (1 + threshold)) - 1e-6
     able = met.groupBy("query_id", "unit_id").agg(F.count("*").alias("c"), F.first("nq").alias("nq"), F.first("nu").alias("nu"), F.first("first").alias("first")).where(
         F.col("c") + F.col("nq") - F.col("first") >= need)
-    pairs = cut_lineage(able.select("query_id", "unit_id"))
+    able = able.select("query_id", "unit_id")
+    pairs = cut_lineage(keep(able) if keep else able)
     c = F.size(F.array_intersect("grams", "g"))
     verified = u.join(share(pairs), "unit_id").join(share(ordered.select("query_id", "nq", "grams")), "query_id").select(
         "query_id", "unit_id", F.round(c / (F.col("nq") + F.size("g") - c), 6).alias("score"))
@@ -195,14 +200,13 @@ def containing(needles: DataFrame, texts: DataFrame, widths: tuple[int, ...] = (
     return found.filter(F.contains("text", "term")).select("id", "term", *columns)
 
 
-def substring_hits(terms: DataFrame, units: DataFrame) -> DataFrame:
-    """Share of a query's terms found anywhere inside the unit text."""
+def substring_hits(terms: DataFrame, units: DataFrame, keep: Keep | None = None) -> DataFrame:
+    """Share of a query's terms found anywhere inside the unit text, for the units that ``keep`` lets through."""
     low = units.select(F.col("unit_id").alias("id"), F.lower("text").alias("text"))
     size = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    hits = containing(terms, low).join(terms, "term").groupBy("query_id", F.col("id").alias("unit_id")).agg(F.count("*").alias("hits"))
     return (
-        containing(terms, low).join(terms, "term")
-        .groupBy("query_id", F.col("id").alias("unit_id")).agg(F.count("*").alias("hits"))
-        .join(size, "query_id")
+        (keep(hits) if keep else hits).join(size, "query_id")
         .select("query_id", "unit_id", F.round(F.col("hits") / F.col("n_terms"), 6).alias("score"))
     )
 
@@ -220,6 +224,16 @@ def cascade(queries: DataFrame, levels: list) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def scoped_cascade(queries: DataFrame, levels: list, keeps: list[Keep | None]) -> DataFrame:
+    """A cascade whose every level tries the scopes in turn, strictest first, before the next level is asked.
+
+    ``levels`` is a list of (source name, function from queries and scope to candidates); ``step`` is the scope's place in the list.
+    """
+    steps = [(f"{source}#{i}", lambda q, route=route, keep=keep: route(q, keep)) for source, route in levels for i, keep in enumerate(keeps)]
+    parts = F.split("source", "#")
+    return cascade(queries, steps).withColumns({"source": parts[0], "step": parts[1].cast("int")})
+
+
 # --- filters -----------------------------------------------------------------------------------
 
 
@@ -444,9 +458,14 @@ def graph_reach(seeds: DataFrame, edges: DataFrame, max_hop: int, min_confidence
 
 
 def graph_recall(seeds: DataFrame, edges: DataFrame, evidence: DataFrame, unit_segments: DataFrame, max_hop: int,
-                 min_confidence: float) -> DataFrame:
-    """Units whose segment is evidence of a reached entity, one row per (query, unit)."""
+                 min_confidence: float, active: DataFrame | None = None) -> DataFrame:
+    """Units whose segment is evidence of a reached entity, one row per (query, unit).
+
+    ``active`` (segment_id) is the released scope: evidence outside it leads to no unit. Edges are walked whatever their evidence.
+    """
     reach = graph_reach(seeds, edges, max_hop, min_confidence)
+    if active is not None:
+        evidence = evidence.join(active.select("segment_id").distinct(), "segment_id", "left_semi")
     return (
         reach.join(evidence.select("entity_id", "segment_id").distinct(), "entity_id")
         .groupBy("query_id", "segment_id").agg(F.min("hop").alias("hop"), F.max("conf").alias("conf"))

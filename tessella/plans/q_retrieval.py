@@ -105,8 +105,7 @@ fragment("released", "SELECT doc_id FROM labels WHERE quality = 1")
   {TOP_SQL.format("f", LIMIT)}
 """, ("bm25", "units", "released"))
 def r02_released(spark, d):
-    active = dv.table(spark, d, "labels").where("quality = 1").select("doc_id")
-    inside = unit_index(spark, d).vectors.join(active, "doc_id", "left_semi").select("unit_id")
+    inside = released_units(spark, d)
     return lexical(spark, d, keep=lambda found: found.join(inside, "unit_id", "left_semi"))
 
 
@@ -186,6 +185,29 @@ def r05(spark, d):
     ])
 
 
+def released_units(spark, d):
+    active = dv.table(spark, d, "labels").where("quality = 1").select("doc_id")
+    return unit_index(spark, d).vectors.join(active, "doc_id", "left_semi").select("unit_id")
+
+
+_LADDER = [(f"{t}_{s}", t, w, s) for t, w in (("d_bm25", "lexical_bm25"), ("d_trigram", "trigram_fallback"), ("d_substring", "like_fallback")) for s in (0, 1)]
+
+
+# Each level looks inside the release first, then outside, before the next level is asked.
+@query("r05_scoped_cascade", "WITH " + ",\n  ".join(
+    f"{n} AS MATERIALIZED (" + TOP_SQL.format(f"(SELECT * FROM {t}" + (" WHERE unit_id IN (SELECT unit_id FROM units WHERE doc_id IN (SELECT doc_id FROM released))" if s == 0 else "") + ")", 10) + ")"
+    for n, t, _, s in _LADDER) + "\n  " + " UNION ALL ".join(
+    f"SELECT *, '{w}' AS source, {s} AS step FROM {n}" + "".join(f" {'AND' if i else 'WHERE'} query_id NOT IN (SELECT query_id FROM {m[0]})" for i, m in enumerate(_LADDER[:at]))
+    for at, (n, _, w, s) in enumerate(_LADDER)), ("d_bm25", "d_trigram", "d_substring", "units", "released"))
+def r05_scoped(spark, d):
+    u, index, active = dv.units(spark, d), unit_index(spark, d), released_units(spark, d)
+    return rt.scoped_cascade(_damaged(spark, d), [
+        ("lexical_bm25", lambda q, keep: ix.search(index, rt.query_terms(q), 10, keep)),
+        ("trigram_fallback", lambda q, keep: rt.top_k(rt.trigram_similarity(q, u, keep=keep), 10)),
+        ("like_fallback", lambda q, keep: rt.top_k(rt.substring_hits(rt.query_terms(q), u, keep), 10)),
+    ], [lambda found: found.join(active, "unit_id", "left_semi"), None]).select("query_id", "unit_id", "score", "rank", "source", "step")
+
+
 # Scope of a question: the language of the same-numbered document, and headings or raw text by length.
 def _scope(spark, d):
     q = dv.questions(spark, d)
@@ -273,6 +295,16 @@ def r09(spark, d):
     return dn.cell_search(probes(spark, d), dn.build_cells(v, DIM), 20)
 
 
+@query("r09_released_dense", """
+  WITH s AS (SELECT query_id, vec_id AS unit_id, round(list_cosine_similarity(vector, embedding::DOUBLE[]), 6) AS score
+             FROM probes, embeddings WHERE vec_id IN (SELECT doc_id FROM released))
+""" + TOP_SQL.format("s", 20), ("probes", "released"))
+def r09_released(spark, d):
+    v = dv.table(spark, d, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vector"))
+    active = dv.table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("unit_id"))
+    return dn.cell_search(probes(spark, d), dn.build_cells(v, DIM), 20, active=active)
+
+
 @query("r10_dense_by_kind", """
   WITH s AS (SELECT query_id, vec_id // 2 AS unit_id, max(round(list_cosine_similarity(vector, embedding::DOUBLE[]), 6)) AS score
              FROM probes, embeddings WHERE label < 5 GROUP BY 1, 2)
@@ -359,12 +391,21 @@ fragment("graph_recall", """
 """, ("graph_edges", "linked", "mentions"))
 
 
-def graph_hits(spark, d):
+def graph_hits(spark, d, active=None):
     ev = dv.mentions(spark, d).filter("resolve_status = 'human'").select(F.col("canonical_name").alias("entity_id"), "segment_id")
     units = dv.table(spark, d, "orders").select(
         F.col("o_orderkey").alias("segment_id"), F.col("o_orderkey").alias("unit_id"),
         F.when(F.col("o_orderstatus") == "F", "entity_card").otherwise("raw_text").alias("unit_type"))
-    return rt.graph_recall(linked(spark, d), dv.graph_edges(spark, d), ev, units, 2, 0.95)
+    return rt.graph_recall(linked(spark, d), dv.graph_edges(spark, d), ev, units, 2, 0.95, active)
+
+
+# Released evidence: that of orders that are not open any more.
+@query("r13_released_recall", """
+  SELECT query_id, unit_id, unit_type, hop, round(conf, 6) AS conf FROM graph_recall WHERE unit_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O')
+""", ("graph_recall",))
+def r13_released(spark, d):
+    active = dv.table(spark, d, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("segment_id"))
+    return graph_hits(spark, d, active).withColumn("conf", F.round("conf", 6))
 
 
 @query("r13_graph_recall", "SELECT query_id, unit_id, unit_type, hop, round(conf, 6) AS conf FROM graph_recall", ("graph_recall",))
