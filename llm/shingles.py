@@ -15,6 +15,9 @@ from llm.setjoin import JOIN_WORDS, Threshold, matches, near_enough, sets_of, st
 from llm.words import Texts, mix, slices, spans
 
 WORDS = 5
+#: Rounds in which sets are checked against one set of another component each, before all pairs are. Each costs some
+#: thirty small jobs; it decides speed only.
+MERGES = 2
 
 
 def shingle_items(words: int = WORDS):
@@ -61,8 +64,7 @@ def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) ->
 
     Documents link when their sets of word n-grams have a Jaccard similarity of at least hundredths / 100. First each
     set is checked against one other, that which is the smallest set for most of its tokens; what is linked then forms
-    components. In rounds each set that shares tokens with other components is checked against one set of them, not checked yet,
-    until a round links nothing. Pairs within a component need no check any more; all other pairs that pass the filters get one. So a
+    components. In two rounds each set that shares tokens with other components is checked against one set of them. Pairs within a component need no check any more; all other pairs that pass the filters get one. So a
     group of near copies costs some stars, not its square, and no link between components is lost.
 
     ``docs`` needs doc_id and text; other columns are ignored. Null or empty texts have no shingles and link with
@@ -88,16 +90,12 @@ def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) ->
 
     tested = settle(star_pairs(found, F.struct("n", "s", "p", "g"), rule).select(*sorted_pairs("a", "b")).distinct())
     links = check(tested)
-    while True:
+    for _ in range(MERGES):
         placed = _placed(found, links)
         pairs = settle(_next_pairs(placed, rule).select(*sorted_pairs("a", "b"), "y", "k").join(tested, ["a", "b"], "left_anti")
                        .groupBy("y").agg(F.max(F.struct("k", "a", "b")).alias("m")).select("m.a", "m.b").distinct())
         release(placed)
-        fresh = check(pairs)
-        tested = tested.union(pairs)
-        if fresh.isEmpty():
-            break
-        links = links.union(fresh)
+        links, tested = links.union(check(pairs)), tested.union(pairs)
     placed = _placed(found, links)
     mixed = placed.groupBy("t").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("t")
     side = with_words(placed.join(mixed, "t"), surveyed)
