@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEY = ["domain", "document_id"]
@@ -163,15 +164,43 @@ def backfill_domain(assets: DataFrame, candidates: list[DataFrame]) -> DataFrame
         "asset_id", F.when(F.col("lo").isNull(), UNSCOPED).when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(SHARED).alias("domain"))
 
 
+def as_of(questions: DataFrame, marks: DataFrame, keys: list[str], time: str, at: str, value: str, stretch: str = "month") -> DataFrame:
+    """``questions`` with ``found``: the struct ``value`` of the latest mark of the same keys up to the question's time, else NULL.
+
+    ``marks``: (keys, ``at``, ``value``), one row per keys and time. Both sides lie in one table sorted by time, and the last
+    mark is carried along; marks and questions of one key are never multiplied. A key's history is cut in stretches of
+    time, so that a hot key is many tasks: each stretch starts with the last mark of those before it, of which
+    there is one row per stretch.
+    """
+    cut = lambda c: F.date_trunc(stretch, c).alias("_s")
+    asked = questions.select("*", cut(time))
+    ends = marks.select(*keys, cut(at), at, value).groupBy(*keys, "_s").agg(F.max_by(value, at).alias("_end"))
+    steps = ends.unionByName(asked.select(*keys, "_s").distinct().withColumn("_end", F.lit(None).cast(marks.schema[value].dataType)))
+    steps = steps.groupBy(*keys, "_s").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    before = W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    steps = steps.select(*keys, "_s", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    rest = [c for c in questions.columns if c not in keys]
+    both = asked.select(*keys, "_s", F.col(time).alias("_t"), F.lit(1).alias("_k"), F.struct(*rest).alias("_q"), F.lit(None).cast(marks.schema[value].dataType).alias("_m")).unionByName(
+        marks.select(*keys, cut(at), F.col(at).alias("_t"), F.lit(0).alias("_k"), F.col(value).alias("_m")), allowMissingColumns=True)
+    running = W.partitionBy(*keys, "_s").orderBy("_t", "_k").rowsBetween(W.unboundedPreceding, 0)
+    seen = both.withColumn("_m", F.last("_m", ignorenulls=True).over(running)).where("_k = 1")
+    return seen.join(steps, [*keys, "_s"], "left").select(*keys, "_q.*", F.coalesce("_m", "_carried").alias("found"))
+
+
 def backfill_batch(selections: DataFrame, links: DataFrame) -> DataFrame:
     """As-of batch of selections without one: that of the latest link up to the build, if it is unambiguous.
 
     ``selections``: (build_id, document_id, snapshot_id, created_at); ``links``: (document_id, snapshot_id,
-    batch_id, linked_at). For each selection only the latest time and its least and greatest batch are
-    kept, so there is no window over a document's links.
+    batch_id, linked_at). Links of one time are folded to their least and greatest batch first; of a build's several
+    snapshots of a document the one linked last counts.
     """
-    j = selections.join(links, ["document_id", "snapshot_id"]).filter("linked_at <= created_at AND batch_id IS NOT NULL")
-    t = j.groupBy("build_id", "document_id", "linked_at").agg(F.min("batch_id").alias("lo"), F.max("batch_id").alias("hi"))
+    keys = ["document_id", "snapshot_id"]
+    marks = links.filter("batch_id IS NOT NULL AND linked_at IS NOT NULL").groupBy(*keys, "linked_at").agg(
+        F.struct(F.min("batch_id").alias("lo"), F.max("batch_id").alias("hi")).alias("b")).select(
+        *keys, "linked_at", F.struct("linked_at", "b.lo", "b.hi").alias("mark"))
+    asked = selections.filter("created_at IS NOT NULL").select("build_id", *keys, "created_at").distinct()
+    found = as_of(asked, marks, keys, "created_at", "linked_at", "mark").filter("found IS NOT NULL")
+    t = found.groupBy("build_id", "document_id", "found.linked_at").agg(F.min("found.lo").alias("lo"), F.max("found.hi").alias("hi"))
     last = t.groupBy("build_id", "document_id").agg(F.max_by(F.struct("lo", "hi"), "linked_at").alias("b"))
     return last.filter("b.lo = b.hi").select("build_id", "document_id", F.col("b.lo").alias("source_batch_id"))
 

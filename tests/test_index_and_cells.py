@@ -261,3 +261,35 @@ def test_strong_edges_equal_the_long_way(spark, patterns):
     got = gr.strong_edges(df, patterns, 60, hub=20)
     # A key under several types may make one edge out of pairs of several types; the types named are then the least ones.
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+# --- as-of ---------------------------------------------------------------------------------------
+
+
+def test_as_of_batches_equal_plain_with_a_hot_document(spark):
+    """A document with very many links, links and builds at one time, ambiguous batches, stretches without links, nulls."""
+    import datetime as dt
+
+    from tessella.operators import lifecycle as lc
+
+    rng = random.Random(12)
+    start = dt.datetime(2020, 1, 1)
+    links = [(1, rng.randrange(2), rng.randrange(5), start + dt.timedelta(minutes=10 * rng.randrange(40000))) for _ in range(20000)]
+    links += [(d, rng.randrange(2), rng.randrange(3), start + dt.timedelta(days=rng.randrange(400))) for d in range(2, 20) for _ in range(rng.randrange(6))]
+    links += [(2, 0, None, start), (3, 1, 1, None)]
+    picks = [(b, d, s, start + dt.timedelta(days=rng.randrange(-5, 500))) for b in range(8) for d in range(1, 22) for s in rng.sample(range(3), rng.randrange(1, 3))]
+    picks += [(99, 1, 0, links[0][3]), (98, 5, 0, None)]
+    want = {}
+    for b, d, s, t in picks:
+        if t is not None:
+            for x in links:
+                if x[0] == d and x[1] == s and x[2] is not None and x[3] is not None and x[3] <= t:
+                    want.setdefault((b, d), []).append((x[3], x[2]))
+    expect = set()
+    for key, marks in want.items():
+        last = {v for t, v in marks if t == max(t for t, _ in marks)}
+        if len(last) == 1:
+            expect.add((*key, last.pop()))
+    got = lc.backfill_batch(spark.createDataFrame(picks, "build_id int, document_id int, snapshot_id int, created_at timestamp"),
+                            spark.createDataFrame(links, "document_id int, snapshot_id int, batch_id int, linked_at timestamp").repartition(4))
+    assert {tuple(r) for r in got.collect()} == expect and len(expect) > 60
