@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessella.operators import structure as st
@@ -9,6 +11,7 @@ from tessella.plans import derived as dv
 from tessella.plans.q_structure import blocks
 from tessella.plans.registry import fragment, query
 from tessella.sources import files as fl
+from tessella.sources import stored as st
 
 
 @query("s01_scan_files")
@@ -61,22 +64,28 @@ def s04(spark, d):
     return fl.read_sections(spark, path)
 
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "labels", "conversations"]
+# Every table: its rows, and a sum of hashes over a column or two of whole numbers or text.
+TABLES = {
+    "region": "r_regionkey, r_name", "nation": "n_nationkey, n_name", "customer": "c_custkey, c_name", "supplier": "s_suppkey, s_name", "part": "p_partkey, p_name",
+    "orders": "o_orderkey, o_orderstatus", "lineitem": "l_orderkey, l_linenumber, l_partkey", "events": "event_id, event_type", "documents": "doc_id, text",
+    "embeddings": "vec_id, label", "pages": "page_id, html", "benchmark": "item_id, text", "labels": "doc_id, quality, toxic", "conversations": "conv_id, turn, text"}
 
 
-@query("s05_dump_and_reload", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES)
-       + " UNION ALL SELECT 'embeddings_optional', 0")
+@query("s05_dump_and_reload", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n, coalesce(sum(('0x' || substr(md5(concat_ws('|', {c})), 1, 8))::BIGINT), 0)::BIGINT AS digest FROM {t}" for t, c in TABLES.items())
+       + " UNION ALL SELECT 'missing_optional', 0, 0")
 def s05(spark, d):
     tables = {t: dv.table(spark, d, t) for t in TABLES}
     root = fl.scratch(spark)
     fl.dump_tables(tables, root)
     schemas = {t: df.schema for t, df in tables.items()}
-    schemas["embeddings_optional"] = dv.table(spark, d, "embeddings").schema
-    out = None
-    for name, df in fl.reload_tables(spark, root, schemas, ("embeddings_optional",)).items():
-        row = df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    schemas["missing_optional"] = tables["labels"].schema
+    parts = []
+    for name, df in fl.reload_tables(spark, root, schemas, ("missing_optional",)).items():
+        of = TABLES.get(name, TABLES["labels"]).split(", ")
+        h = F.conv(F.substring(F.md5(F.concat_ws("|", *of)), 1, 8), 16, 10).cast("bigint")
+        parts.append(df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0)).alias("digest")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def _selections(spark, d):
@@ -103,6 +112,18 @@ def s06(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).na.fill("", ["batch"])
 
 
+@query("s06_stored_upsert", """
+  SELECT coalesce(n.domain, o.domain) AS domain, coalesce(n.document_id, o.document_id) AS document_id, coalesce(n.snapshot_id, o.snapshot_id) AS snapshot_id, coalesce(n.batch, o.batch, '') AS batch
+  FROM old_sel o FULL OUTER JOIN new_sel n ON o.domain = n.domain AND o.document_id = n.document_id
+""", ("old_sel", "new_sel"))
+def s06_stored(spark, d):
+    old, new = _selections(spark, d)
+    root = fl.scratch(spark)
+    st.create_stored(old, root, ["domain", "document_id"])
+    st.upsert_stored(new, root, "keep")
+    return st.read_stored(spark, root).na.fill("", ["batch"])
+
+
 # Model outputs built from event properties: fenced, bare, broken, wrong type, missing key, plain text.
 @query("s07_parse_outputs", """
   SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 'json_array' WHEN 'signup' THEN 'text' ELSE 'json_object' END AS expected_type,
