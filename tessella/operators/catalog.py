@@ -167,6 +167,34 @@ def build_list(builds: DataFrame, releases: DataFrame, selections: DataFrame) ->
     return builds.join(n, "build_id", "left").join(r, "build_id", "left").na.fill(0, ["active_documents"]).na.fill("", ["channels"])
 
 
+def release_list(releases: DataFrame, limit: int = 20, offset: int = 0, channel: str | None = None) -> DataFrame:
+    """One page of the releases of every domain, newest first, with the number of all of them; ``rank`` counts from 1."""
+    r = releases.filter(F.col("channel") == channel) if channel else releases
+    newest = W.partitionBy("domain").orderBy(F.col("activated_at").desc(), "release_id")
+    totals = r.groupBy("domain").agg(F.count("*").alias("total"))
+    page = r.withColumn("rank", F.row_number().over(newest)).filter((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
+    return page.join(totals, "domain")
+
+
+def active_releases(releases: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The active release of each wanted (domain, channel), NULL where there is none; the smallest id if there are several."""
+    a = releases.filter("status = 'active'").groupBy("domain", "channel").agg(F.min_by(F.struct("release_id", "build_id"), "release_id").alias("r"))
+    return wanted.join(a, ["domain", "channel"], "left").select("domain", "channel", "r.release_id", "r.build_id")
+
+
+def build_detail(builds: DataFrame, selections: DataFrame) -> DataFrame:
+    """Builds with their document selections, one row each; a build without any has one row of NULLs."""
+    return builds.join(selections.select("build_id", "document_id", "snapshot_id", "selection_status", "reason"), "build_id", "left")
+
+
+def runs_in(runs: DataFrame, status: str, domain: str | None = None) -> DataFrame:
+    """Runs that wait in one status (``interrupted``, ``awaiting_review``), in the order of their start."""
+    r = runs.filter(F.col("status") == status)
+    if domain:
+        r = r.filter(F.col("domain") == domain)
+    return r.withColumn("place", F.row_number().over(W.partitionBy("domain").orderBy("started_at", "run_id")))
+
+
 def usage_overview(tasks: DataFrame, attempts: DataFrame, now: Column) -> DataFrame:
     """One row: tasks, success rate, recent failures, services, attempts, tokens, mean latency."""
     s = F.col("status")

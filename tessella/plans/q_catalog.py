@@ -195,6 +195,53 @@ def q13(spark, d):
     return ct.build_list(r, release_table(spark, d), sel)
 
 
+@query("q13_release_list", """
+  SELECT domain, release_id, build_id, channel, status, rank, total FROM (
+    SELECT *, row_number() OVER (PARTITION BY domain ORDER BY activated_at DESC, release_id) AS rank, count(*) OVER (PARTITION BY domain) AS total FROM releases) WHERE rank > 1 AND rank <= 4
+""", ("releases",))
+def q13_releases(spark, d):
+    from tessella.plans.q_lifecycle import releases
+
+    return ct.release_list(releases(spark, d), limit=3, offset=1).select("domain", "release_id", "build_id", "channel", "status", "rank", "total")
+
+
+@query("q13_active_release", """
+  SELECT r_name AS domain, 'prod' AS channel, CASE r_name WHEN 'ASIA' THEN -1 ELSE r_regionkey + 100 END AS release_id, CASE r_name WHEN 'ASIA' THEN -1 ELSE r_regionkey END AS build_id FROM region
+""")
+def q13_active(spark, d):
+    from tessella.plans.q_lifecycle import release_table
+
+    wanted = dv.table(spark, d, "region").select(F.col("r_name").alias("domain"), F.lit("prod").alias("channel"))
+    return ct.active_releases(release_table(spark, d), wanted).na.fill(-1, ["release_id", "build_id"])
+
+
+@query("q13_build_detail", """
+  SELECT r_regionkey AS build_id, r_name AS domain, coalesce(document_id, -1) AS document_id, coalesce(snapshot_id, -1) AS snapshot_id, coalesce(selection_status, '') AS selection_status, coalesce(reason, '') AS reason
+  FROM region LEFT JOIN parent_selections s ON s.domain = r_name
+""", ("parent_selections",))
+def q13_detail(spark, d):
+    r = dv.table(spark, d, "region").select(F.col("r_regionkey").alias("build_id"), F.col("r_name").alias("domain"))
+    sel = dv.parent_selections(spark, d).join(r, "domain").drop("domain")
+    return ct.build_detail(r, sel).na.fill(-1, ["document_id", "snapshot_id"]).na.fill("", ["selection_status", "reason"])
+
+
+# Runs: a day's events of one type; failed at the last event means interrupted, started means it waits for review.
+def _runs(spark, d):
+    last = F.max_by("status", F.struct("created_at", "event_id"))
+    return dv.stage_events(spark, d).groupBy("run_id", F.col("stage").alias("domain")).agg(F.min("created_at").alias("started_at"), last.alias("s")).select(
+        "run_id", "domain", "started_at", F.when(F.col("s") == "failed", "interrupted").when(F.col("s") == "started", "awaiting_review").otherwise("completed").alias("status"))
+
+
+@query("q19_waiting_runs", """
+  WITH r AS (SELECT run_id, stage AS domain, min(created_at) AS started_at, arg_max(status, {'c': created_at, 'e': event_id}) AS s FROM stage_events GROUP BY 1, 2)
+  SELECT CASE s WHEN 'failed' THEN 'interrupted' ELSE 'awaiting_review' END AS status, domain, run_id, row_number() OVER (PARTITION BY s, domain ORDER BY started_at, run_id) AS place
+  FROM r WHERE s IN ('failed', 'started')
+""", ("stage_events",))
+def q19_waiting(spark, d):
+    runs = _runs(spark, d)
+    return ct.runs_in(runs, "interrupted").unionByName(ct.runs_in(runs, "awaiting_review")).select("status", "domain", "run_id", "place")
+
+
 @query("q14_usage_overview", """
   SELECT (SELECT count(*) FROM llm_tasks) AS tasks, (SELECT round(count(*) FILTER (WHERE status = 'succeeded') / count(*), 4) FROM llm_tasks) AS success_rate,
     (SELECT count(*) FROM llm_tasks WHERE status = 'failed' AND created_at > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR) AS recent_failures,

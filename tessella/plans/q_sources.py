@@ -19,6 +19,20 @@ def s01(spark, d):
     return fl.scan_files(spark, d, with_content=False).select("file_name", "file_size", "file_type", "outcome")
 
 
+# Pages laid out as one text file each, then scanned with their content.
+@query("s01_scan_content", """
+  SELECT page_id, 'txt' AS file_type, 'parsed' AS outcome, strlen(html || chr(10)) AS file_size, sha256(html || chr(10)) AS raw_hash, sha256(html || chr(10)) AS text_hash
+  FROM pages WHERE html IS NOT NULL
+""")
+def s01_content(spark, d):
+    root = fl.scratch(spark)
+    p = dv.table(spark, d, "pages").where("html IS NOT NULL").select(F.col("page_id").alias("page"), "html")
+    p.repartition("page").write.partitionBy("page").option("compression", "none").text(root)
+    found = fl.scan_files(spark, root).where("file_type = 'txt'")
+    page = F.regexp_extract("path", r"page=(\d+)/", 1).cast("long")
+    return found.select(page.alias("page_id"), "file_type", "outcome", "file_size", "raw_hash", F.sha2("text", 256).alias("text_hash"))
+
+
 @query("s02_decode_text", "SELECT page_id, sha256(html) AS utf8, sha256(html) AS sniffed FROM pages")
 def s02(spark, d):
     p = dv.table(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
