@@ -56,7 +56,13 @@ def t02(spark, d):
     return lg.drain_updates(s, ["run_id", "document_id"], ["at"]).drop("at")
 
 
-@query("t03_stalled_stages")
+# The watermark of two sides is that of the slower one.
+@query("t03_stalled_stages", """
+  SELECT event_id, run_id, document_id, stage FROM stage_events s WHERE status = 'started' AND created_at + INTERVAL 1 HOUR <
+      (SELECT least(max(created_at) FILTER (WHERE status = 'started'), max(created_at) FILTER (WHERE status <> 'started')) FROM stage_events) - INTERVAL 10 MINUTES
+    AND NOT EXISTS (SELECT 1 FROM stage_events e WHERE e.run_id = s.run_id AND e.document_id = s.document_id AND e.stage = s.stage AND e.status <> 'started'
+                    AND e.created_at > s.created_at AND e.created_at <= s.created_at + INTERVAL 1 HOUR)
+""", ("stage_events",))
 def t03(spark, d):
     return lg.drain(lg.stalled_stages(_stages(events(spark, d)))).select("event_id", "run_id", "document_id", "stage")
 
