@@ -8,6 +8,7 @@ from tessella.functions import text as tx
 from tessella.operators import context as cx
 from tessella.operators import dedup as dd
 from tessella.operators import folds as fd
+from tessella.operators import markup as mk
 from tessella.operators import structure as st
 from tessella.operators import units as un
 
@@ -66,7 +67,20 @@ def test_html_to_markdown(spark):
 
 def test_body_division_is_preferred(spark):
     html = "<body><div>menu</div><div class='topicBody'>core</div></body>"
-    assert st._page_markdown(html, "t") == "# t\n\ncore\n"
+    assert mk.page_markdown(html, "t") == "# t\n\ncore\n"
+
+
+def test_headings_go_lower_and_images_get_a_prefix():
+    html = "<h1>a</h1><h5>b</h5><img src='p/x.png' alt=i><img src='https://h/y.png'><img src='/z.png'><img src='#f'><img src='data:image/png;base64,A'>"
+    assert mk.page_markdown(html, "t", 2, "pics") == ("# t\n\n### a\n\n###### b\n\n![i](pics/p/x.png)![](https://h/y.png)![](/z.png)![](#f)![](data:image/png;base64,A)\n")
+
+
+def test_open_elements_close_where_others_begin():
+    html = "<p>one<p>two<ul><li>a<li>b<ol><li>c</ol></ul><table><caption>Cap</caption><tr><td>x|y<td><table><tr><th>in</table><tr><td colspan=2>z</table>tail"
+    got = mk.read_page(html)
+    assert [(g.header, g.caption) for g in got.grids] == [(False, "Cap"), (True, "")]
+    assert got.grids[0].lines == [["x\\|y", "\\| in \\| \\| --- \\|"], ["z", "z"]] and got.grids[1].lines == [["in"]]
+    assert got.markdown().startswith("one\n\ntwo\n\n- a\n- b\n\n1. c\n") and got.markdown().endswith("tail")
 
 
 def test_table_spans(spark):
