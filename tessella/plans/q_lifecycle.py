@@ -219,7 +219,11 @@ def l08(spark, d):
     return scope(spark, d)
 
 
-@query("l08_scope_errors", "SELECT 'ASIA' AS domain, 'no_active_release' AS error UNION ALL SELECT r_name, 'multiple_active_releases' FROM region WHERE r_name = 'EUROPE'")
+@query("l08_scope_errors", """
+  WITH r AS (SELECT r_name AS domain, CASE r_name WHEN 'ASIA' THEN 'retired' ELSE 'active' END AS status FROM region UNION ALL SELECT r_name, 'active' FROM region WHERE r_name = 'EUROPE')
+  SELECT r_name AS domain, CASE count(r.domain) WHEN 0 THEN 'no_active_release' ELSE 'multiple_active_releases' END AS error
+  FROM region LEFT JOIN r ON r.domain = r_name AND status = 'active' GROUP BY 1 HAVING count(r.domain) <> 1
+""")
 def l08b(spark, d):
     return lc.scope_errors(release_table(spark, d), dv.table(spark, d, "region").select(F.col("r_name").alias("domain")), "prod")
 
