@@ -11,7 +11,7 @@ from tessella.plans import derived as dv
 from tessella.plans.q_structure import blocks
 from tessella.plans.registry import fragment, query
 from tessella.sources import files as fl
-from tessella.sources import stored as st
+from tessella.sources import stored as sd
 
 
 @query("s01_scan_files")
@@ -133,9 +133,9 @@ def s06(spark, d):
 def s06_stored(spark, d):
     old, new = _selections(spark, d)
     root = fl.scratch(spark)
-    st.create_stored(old, root, ["domain", "document_id"])
-    st.upsert_stored(new, root, "keep")
-    return st.read_stored(spark, root).na.fill("", ["batch"])
+    sd.create_stored(old, root, ["domain", "document_id"])
+    sd.upsert_stored(new, root, "keep")
+    return sd.read_stored(spark, root).na.fill("", ["batch"])
 
 
 # Model outputs built from event properties: fenced, bare, broken, wrong type, missing key, plain text.
