@@ -6,11 +6,13 @@ always rounds the score and ends with the unit id, so results do not depend on t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -200,11 +202,50 @@ def containing(needles: DataFrame, texts: DataFrame, widths: tuple[int, ...] = (
     return found.filter(F.contains("text", "term")).select("id", "term", *columns)
 
 
+def word_hits(terms: DataFrame, units: DataFrame, max_shared: int = 1_000_000) -> DataFrame:
+    """Distinct (unit_id, term) of units whose lower-case text contains a term that is one token.
+
+    Such a term lies inside one token of the text, so terms are looked for in the distinct tokens of all texts, and a task
+    needs no more than its units' tokens and the (token, term) pairs that were found.
+    """
+    words = units.select("unit_id", F.array_distinct(tx.tokens(F.coalesce("text", F.lit("")))).alias("words"))
+    known = words.select(F.explode("words").alias("id")).distinct().withColumn("text", F.col("id"))
+    pairs = cut_lineage(containing(terms.select("term").distinct(), known).select(F.col("id").alias("word"), "term"))
+    if not at_most(pairs, max_shared):
+        return words.select("unit_id", F.explode("words").alias("word")).join(pairs, "word").select("unit_id", "term").distinct()
+    local = pairs.toPandas().sort_values("word", ignore_index=True)
+    names, first = np.unique(local["word"].to_numpy().astype(object), return_index=True)
+    all_terms, codes = np.unique(local["term"].to_numpy().astype(object), return_inverse=True)
+    shared = units.sparkSession.sparkContext.broadcast((names, first, np.diff(np.append(first, len(local))), all_terms, codes))
+
+    def meet_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, first, size, all_terms, codes = shared.value
+        known, told = pa.array(names, pa.string()), pa.array(all_terms, pa.string())
+        for batch in batches:
+            items = batch.column("words")
+            place = pc.index_in(items.flatten(), value_set=known)
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(items)))[np.asarray(place.is_valid())]
+            word = np.asarray(place.drop_null())
+            n = size[word]
+            each = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[word], n)
+            key = np.unique(np.repeat(row, n) * max(1, len(all_terms)) + codes[each])
+            unit, term = np.divmod(key, max(1, len(all_terms)))
+            yield pa.RecordBatch.from_arrays([batch.column("unit_id").take(pa.array(unit)), told.take(pa.array(term))], ["unit_id", "term"])
+
+    return words.mapInArrow(meet_words, f"unit_id {units.schema['unit_id'].dataType.simpleString()}, term string")
+
+
 def substring_hits(terms: DataFrame, units: DataFrame, keep: Keep | None = None) -> DataFrame:
     """Share of a query's terms found anywhere inside the unit text, for the units that ``keep`` lets through."""
-    low = units.select(F.col("unit_id").alias("id"), F.lower("text").alias("text"))
     size = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    hits = containing(terms, low).join(terms, "term").groupBy("query_id", F.col("id").alias("unit_id")).agg(F.count("*").alias("hits"))
+    one_token = F.col("term").rlike(f"^(?:{tx.CJK}|{tx.WORD})$")
+    found = word_hits(terms.where(one_token), units)
+    others = terms.where(~one_token)
+    if not others.isEmpty():
+        low = units.select(F.col("unit_id").alias("id"), F.lower("text").alias("text"))
+        found = found.unionByName(containing(others, low).select(F.col("id").alias("unit_id"), "term"))
+    asked = F.broadcast(terms) if at_most(terms, 1_000_000) else terms
+    hits = found.join(asked, "term").groupBy("query_id", "unit_id").agg(F.count("*").alias("hits"))
     return (
         (keep(hits) if keep else hits).join(size, "query_id")
         .select("query_id", "unit_id", F.round(F.col("hits") / F.col("n_terms"), 6).alias("score"))
