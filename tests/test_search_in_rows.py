@@ -47,3 +47,11 @@ def test_scope_by_class(spark, index, terms):
 
 def test_slices_of_queries(index, terms):
     assert rows(ix.search(index[1], terms, 5, max_shared=10)) == rows(ix.search(index[1], terms, 5))
+
+
+def test_scope_on_attributes_shuffles_no_units(spark, index, terms):
+    before = shuffled(spark)
+    got = rows(ix.search(index[1], terms, 5, ix.Where(F.col("kind") == "c1")))
+    assert shuffled(spark) - before < 2000
+    assert got == rows(rt.top_k(rt.bm25(terms, index[0]).join(index[0].where("kind = 'c1'").select("unit_id"), "unit_id", "left_semi"), 5))
+    assert got == rows(ix.search(index[1], terms, 5, ix.Within(index[0].where("kind = 'c1'").select("unit_id"))))
