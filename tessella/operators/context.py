@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
 from tessella.operators.enrich import lookup
+from tessella.session import cut_lineage, rows_of
 
 # Fixed values.
 MAX_CHARS = 12000
@@ -59,15 +60,16 @@ def seed_items(candidates: DataFrame, sources: DataFrame, roles: DataFrame, sect
     """Candidates ordered by navigated chapter, then discourse tier, then relevance.
 
     A candidate is a nucleus if any source segment is, else a satellite if any is. Its chapter is that
-    of its first source segment with one.
+    of its first source segment with one. Of ``navigated`` only the candidates' chapters are joined, and which queries have any.
     """
+    sections = cut_lineage(sources.select("segment_id").distinct().join(sections, "segment_id"))
     tier = F.when(F.col("discourse_role") == "nucleus", 0).when(F.col("discourse_role") == "satellite", 1).otherwise(2)
     per = (
         sources.join(roles, "segment_id", "left").join(sections, "segment_id", "left")
         .groupBy("query_id", "unit_id")
         .agg(F.min(tier).alias("t"), F.min(F.when(F.col("section").isNotNull(), F.struct("pos", "section")))["section"].alias("section"))
     )
-    nav = navigated.select("query_id", "section").distinct().withColumn("in_navigated_section", F.lit(True))
+    nav = rows_of(navigated, sections, "section").select("query_id", "section").distinct().withColumn("in_navigated_section", F.lit(True))
     has_nav = navigated.select("query_id").distinct().withColumn("has_nav", F.lit(True))
     j = candidates.join(per, ["query_id", "unit_id"], "left").join(nav, ["query_id", "section"], "left").join(has_nav, "query_id", "left")
     inside = F.coalesce("in_navigated_section", F.lit(False))
