@@ -1,5 +1,7 @@
 """Context is put together from the documents found: the others' texts are not shuffled."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,3 +33,16 @@ def test_rows_of_found_documents(spark, corpus, of):
 def test_rows_of_many_keys(spark):
     some = spark.range(100)
     assert rows_of(spark.range(1000), some, "id", rows=10).count() == rows_of(spark.range(1000), some, "id").count() == 100
+
+
+def test_similar_sets_do_not_copy_sets_to_pairs(spark):
+    from tessella.operators import dedup as dd
+
+    rng = random.Random(4)
+    sets = [(i, [f"rare{i % 10}"] + rng.sample([f"word number {j}" for j in range(1000)], 199)) for i in range(300)]
+    sets += [(1000 + i, t[:197] + ["a", "b", "c"]) for i, t in sets[:20]] + [(2000, sets[0][1][::-1]), (2001, None), (2002, [])]
+    df = spark.createDataFrame(sets, "id int, tokens array<string>").repartition(4).localCheckpoint()
+    before = shuffled(spark, "Bytes")
+    got = sorted((r.id_a, r.id_b, r.copies_a, r.copies_b, r.similarity) for r in dd.similar_sets(df, 0.7).collect())
+    assert got == [(i, 1000 + i, 2 if i == 0 else 1, 1, round(197 / 203, 6)) for i in range(20)]
+    assert shuffled(spark, "Bytes") - before < 3_000_000

@@ -24,12 +24,12 @@ def rows(df):
     return sorted((r.query_id, r.rank, r.unit_id, r.score) for r in df.collect())
 
 
-def shuffled(spark):
+def shuffled(spark, what="Records"):
     sc = spark.sparkContext._jsc.sc()
     sc.listenerBus().waitUntilEmpty()
     jvm, store = spark._jvm, sc.statusStore()
     stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
-    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+    return sum(getattr(stages.apply(i), f"shuffleWrite{what}")() for i in range(stages.size()))
 
 
 def test_shuffled_rows_are_bounded_by_tasks_and_k(spark, index, terms):
