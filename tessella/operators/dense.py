@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ CELLS = 1024
 #: Numbers of a part of a cell, and of a block of scores.
 PART_NUMBERS = 1 << 21
 BLOCK_NUMBERS = 1 << 21
+#: Queries whose cells are bounded at a time.
+QUERIES = 512
 #: Allowance for rounding when scores are compared with bounds.
 SLACK = 1e-5
 
@@ -164,21 +167,26 @@ def cell_search(queries: DataFrame, cells: Cells, k: int, least: float = -2.0, a
     lists = cells.extents.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("cell", "width", "parts", "n"))).alias("cells"))
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per query: its cells by falling bound, which of them it meets first."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(2), dim)
-            angle = _angles(x, centres)
-            out = []
-            for i, own in enumerate(batch.column(3)):
-                cell, width, parts, n = (own.values.field(f).to_numpy() for f in ("cell", "width", "parts", "n"))
-                bound = np.cos(np.maximum(angle[i][cell] - width, 0))
-                order = np.argsort(-bound, kind="stable")
-                ahead = np.append(0, np.cumsum(n[order])[:-1])
-                out.append([{"cell": int(cell[j]), "parts": int(parts[j]), "bound": float(bound[j]), "first": bool(a < 2 * k)} for j, a in zip(order, ahead)])
-            kind = pa.list_(pa.struct([("cell", pa.int32()), ("parts", pa.int32()), ("bound", pa.float64()), ("first", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(out, kind)], ["g", "query_id", "row", "cells"])
+        """Per query: its cells by falling bound, which of them it meets first; in slices, as a query may have all cells."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, QUERIES):
+                batch = whole.slice(at, QUERIES)
+                x = _matrix(batch.column(2), dim)
+                angle = _angles(x, centres)
+                flat = batch.column(3).flatten()
+                cell, width, parts, n = (np.asarray(pc.struct_field(flat, f)) for f in ("cell", "width", "parts", "n"))
+                size = np.asarray(pc.list_value_length(batch.column(3)))
+                row = np.repeat(np.arange(len(x)), size)
+                bound = np.cos(np.maximum(angle[row, cell] - width, 0))
+                order = np.lexsort((-bound, row))
+                start = np.cumsum(size) - size
+                ahead = np.cumsum(n[order]) - n[order]
+                ahead -= np.repeat(ahead[np.minimum(start, max(0, len(ahead) - 1))], size) if len(ahead) else 0
+                told = pa.StructArray.from_arrays([pa.array(cell[order]), pa.array(parts[order]), pa.array(bound[order]), pa.array(ahead < 2 * k)],
+                                                  ["cell", "parts", "bound", "first"])
+                ends = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary()),
+                                                  pa.ListArray.from_arrays(ends, told)], ["g", "query_id", "row", "cells"])
 
     asked = cut_lineage(q.join(lists, "g").select("g", "query_id", "vector", "cells").mapInArrow(
         bounds, f"g string, query_id {q_kind}, row binary, cells array<struct<cell:int,parts:int,bound:double,first:boolean>>"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,19 @@ def html_to_markdown(pages: DataFrame, key: str = "page_id", heading_offset: int
     return pages.select(key, "title", "html").mapInPandas(convert, f"{key} {key_type}, markdown string, error string")
 
 
+def row_runs(rows: Iterable[tuple[tuple, int]], most: int = 5000, characters: int = 1 << 21) -> Iterator[list[tuple]]:
+    """Rows, given with their number of characters, in runs of at most ``most`` rows that end when they reach ``characters``."""
+    out, size = [], 0
+    for row, n in rows:
+        out.append(row)
+        size += n
+        if len(out) >= most or size >= characters:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
 def html_table_cells(tables: DataFrame, key: str) -> DataFrame:
     """Cells of all tables of each row of ``tables(key, html)`` after expanding spans.
 
@@ -164,9 +178,14 @@ def parse_markdown(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Typed blocks of every document of ``documents(key, text)``; one row is parsed at a time."""
     key_type = documents.schema[key].dataType.simpleString()
 
-    def parse(frames):
+    def parsed(frames):
         for pdf in frames:
-            out = [(k, i, *b) for k, t in zip(pdf[key], pdf["text"]) for i, b in enumerate(markdown_blocks(t or ""))]
+            for k, t in zip(pdf[key], pdf["text"]):
+                for i, b in enumerate(markdown_blocks(t or "")):
+                    yield (k, i, *b), len(b[1] or "")
+
+    def parse(frames):
+        for out in row_runs(parsed(frames)):
             yield pd.DataFrame(out, columns=[key, "block_index", "block_type", "text", "level", "line_start", "line_end", "language"]).astype(
                 {"level": "Int32"})
 
