@@ -72,7 +72,7 @@ def html_table_cells(tables: DataFrame, key: str) -> DataFrame:
     key_type = tables.schema[key].dataType.simpleString()
 
     def cells(k, html):
-        for t, (grid, header, _) in enumerate(read_page(html).grids):
+        for t, (grid, header, _) in enumerate(read_page(html, grids_only=True).grids):
             names = grid[0] if header else [f"col{i}" for i in range(len(grid[0]) if grid else 0)]
             for r, row in enumerate(grid[1:] if header else grid):
                 yield from ((k, t, r, c, names[c], v, None) for c, v in enumerate(row))
