@@ -6,18 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from llm.common import release, row_key, settle, table
 from llm.components import components
-from llm.setjoin import JOIN_WORDS, Threshold, matches, near_enough, sets_of, star_pairs, survey, verify, with_words
+from llm.setjoin import JOIN_WORDS, Threshold, matches, near_enough, sets_of, survey, verify, with_words
 from llm.words import Texts, mix, slices, spans
 
 WORDS = 5
-#: Rounds in which sets are checked against one set of another component each, before all pairs are. Each costs some
-#: thirty small jobs; it decides speed only.
+#: Rounds in which sets are checked against their neighbours at each token, before all pairs of other components are, and
+#: how many neighbours they meet there. They decide speed only.
 MERGES = 2
+REACH = 3
+#: Prefix tokens before a common one that are looked at to see whether a pair has met already.
+BEFORE = 4
 
 
 def shingle_items(words: int = WORDS):
@@ -46,26 +50,42 @@ def _placed(found: DataFrame, links: DataFrame) -> DataFrame:
     return settle(found.join(classes, "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component"))
 
 
-def _next_pairs(placed: DataFrame, rule: Threshold) -> DataFrame:
-    """(y, a, b, k): for each set y a set of another component for each token that they share, k tokens in all.
+def _neighbours(placed: DataFrame, rule: Threshold, turn: int) -> DataFrame:
+    """(a, b): each set with the next REACH sets at every token, where they are of another component.
 
-    It is the token's smallest set, or the smallest of those outside that set's component. Both are combinable minima.
+    Sets of a token are ordered by size, after the first turn by a hash. So a group of near copies gets a pair for each of its
+    rows, and is one component unless REACH sets in a row are too far from the one before them.
     """
+    order = ["n", "s"] if not turn else [F.xxhash64("s", F.lit(turn)), "s"]
     y = F.struct("n", "s", "p", "g", "c")
-    own = placed.groupBy("t", "c").agg(F.min(y).alias("y"))
-    first = own.groupBy("t").agg(F.min("y").alias("x1"), F.count("*").alias("k")).where("k > 1").select("t", "x1")
-    heads = own.join(first, "t").where("y.c != x1.c").groupBy("t").agg(F.first("x1").alias("x1"), F.min("y").alias("x2"))
-    met = placed.select("t", y.alias("y")).join(heads, "t").select("y", F.when(F.col("y.c") == F.col("x1.c"), F.col("x2")).otherwise(F.col("x1")).alias("x"))
-    return met.where(rule.passes(F.col("x"), F.col("y"))).groupBy(F.col("y.s").alias("y"), F.col("x.s").alias("a")).agg(F.count("*").alias("k")).withColumn("b", F.col("y"))
+    at = W.partitionBy("t").orderBy(*order)
+    met = placed.select(y.alias("y"), F.array(*[F.lead(y, i).over(at) for i in range(1, REACH + 1)]).alias("x")).select("y", F.explode("x").alias("x"))
+    return met.where("x.c != y.c").where(rule.passes(F.col("x"), F.col("y"))).select(
+        F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
+
+
+def _crossing(side: DataFrame, rule: Threshold) -> DataFrame:
+    """(a, b): pairs of sets of different components that pass the filters at a token they share; a pair may occur more than once.
+
+    ``side`` has prefix rows t, n, s, p, g, c and w. A pair is left out at a token if both sets share one of the BEFORE
+    tokens before it. There it has passed too, as its places are earlier and all else is the same, or was left out for
+    a token still earlier; so each pair is met at its first.
+    """
+    own = W.partitionBy("s").orderBy("p", "t")
+    before = F.filter(F.array(*[F.lag("t", i).over(own) for i in range(1, BEFORE + 1)]), lambda t: t.isNotNull())
+    rows = side.select("t", F.struct("n", "s", "p", "g", "c", "w", before.alias("before")).alias("x"))
+    cross = rows.join(rows.withColumnRenamed("x", "y"), "t").where("x.c != y.c and (x.n < y.n or (x.n = y.n and x.s < y.s))")
+    cross = cross.where(~F.arrays_overlap("x.before", "y.before")).where(rule.passes(F.col("x"), F.col("y"), JOIN_WORDS))
+    return cross.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b"))
 
 
 def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of every row.
 
-    Documents link when their sets of word n-grams have a Jaccard similarity of at least hundredths / 100. First each
-    set is checked against one other, that which is the smallest set for most of its tokens; what is linked then forms
-    components. In two rounds each set that shares tokens with other components is checked against one set of them. Pairs within a component need no check any more; all other pairs that pass the filters get one. So a
-    group of near copies costs some stars, not its square, and no link between components is lost.
+    Documents link when their sets of word n-grams have a Jaccard similarity of at least hundredths / 100. In two
+    rounds each set is checked against its neighbours at each of its tokens, first by size, then by a hash; what is linked
+    forms components. Pairs within a component need no check any more; all other pairs that pass the filters get one. So
+    a group of near copies costs some chains, not its square, and no link between components is lost.
 
     ``docs`` needs doc_id and text; other columns are ignored. Null or empty texts have no shingles and link with
     nothing. Rows without doc_id link by their text and get the smallest doc_id of their component. Repeated rows stay.
@@ -85,24 +105,19 @@ def near_documents(docs: DataFrame, hundredths: int = 80, words: int = WORDS) ->
         needed = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct().join(first, "s")
         return verify(pairs, sets_of(texts, items, needed), rule)
 
-    def sorted_pairs(a: str, b: str) -> list[Column]:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-    tested = settle(star_pairs(found, F.struct("n", "s", "p", "g"), rule).select(*sorted_pairs("a", "b")).distinct())
-    links = check(tested)
-    for _ in range(MERGES):
-        placed = _placed(found, links)
-        pairs = settle(_next_pairs(placed, rule).select(*sorted_pairs("a", "b"), "y", "k").join(tested, ["a", "b"], "left_anti")
-                       .groupBy("y").agg(F.max(F.struct("k", "a", "b")).alias("m")).select("m.a", "m.b").distinct())
-        release(placed)
-        links, tested = links.union(check(pairs)), tested.union(pairs)
+    tested = links = None
+    for turn in range(MERGES):
+        placed = found.withColumn("c", F.col("s")) if links is None else _placed(found, links)
+        pairs = _neighbours(placed, rule, turn)
+        pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        near = check(pairs)
+        if links is not None:
+            release(placed)
+        links, tested = (near, pairs) if links is None else (links.union(near), tested.union(pairs))
     placed = _placed(found, links)
     mixed = placed.groupBy("t").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("t")
     side = with_words(placed.join(mixed, "t"), surveyed)
-    x = side.select("t", F.struct("n", "s", "p", "g", "c", "w").alias("x"))
-    y = side.select("t", F.struct("n", "s", "p", "g", "c", "w").alias("y"))
-    cross = x.join(y, "t").where("x.c != y.c and (x.n < y.n or (x.n = y.n and x.s < y.s))").where(rule.passes(F.col("x"), F.col("y"), JOIN_WORDS))
-    more = check(cross.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).select(*sorted_pairs("a", "b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    more = check(_crossing(side, rule).distinct().join(tested, ["a", "b"], "left_anti"))
     classes = components(links.union(more)).withColumnRenamed("id", "s")
     named = rows.join(classes, "s", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "s")))
     least = named.where("c is not null").groupBy("c").agg(F.min("doc").alias("component_id"))
