@@ -27,7 +27,7 @@ def s01(spark, d):
 def s01_content(spark, d):
     root = fl.scratch(spark)
     p = dv.table(spark, d, "pages").where("html IS NOT NULL").select(F.col("page_id").alias("page"), "html")
-    p.repartition("page").write.partitionBy("page").option("compression", "none").text(root)
+    fl.write_pages(p, root)
     found = fl.scan_files(spark, root).where("file_type = 'txt'")
     page = F.regexp_extract("path", r"page=(\d+)/", 1).cast("long")
     return found.select(page.alias("page_id"), "file_type", "outcome", "file_size", "raw_hash", F.sha2("text", 256).alias("text_hash"))
