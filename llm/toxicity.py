@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import rows, table
+from llm.common import rows, table, trim
 
 BUCKETS_LOG2 = 18
 SIZES = (3, 4, 5, 6)
@@ -242,7 +242,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
     chosen = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class) for c in (0, 1)]
     chosen = chosen[0].union(chosen[1])
     sample = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toPandas().sort_values(["doc_id", "text"])
-    return train(sample["text"].tolist(), sample["toxic"].to_numpy() > 0)
+    model = train(sample["text"].tolist(), sample["toxic"].to_numpy() > 0)
+    del sample
+    trim()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
