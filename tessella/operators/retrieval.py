@@ -16,9 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.functions import text as tx
-from tessella.session import at_most, cut_lineage
+from tessella.session import at_most, cut_lineage, rows_of
 
 # Words never used as search terms.
 STOPWORDS_ZH = (
@@ -50,6 +52,12 @@ K1, B = 1.2, 0.75
 HUB_EDGES = 50_000
 #: A scope: takes candidates (query_id, unit_id, ...) and returns those inside it.
 Keep = Callable[[DataFrame], DataFrame]
+#: Up to so many queries are met by every unit in its row; more are joined.
+QUERIES_IN_ROWS = 4096
+#: Tables of at most so many units have their distinct words looked through once; in larger ones each task does so.
+FEW_UNITS = 20_000
+#: Words whose parts a task remembers.
+WORDS_KEPT = 1 << 18
 OUTSIDE = -2.0  # below any cosine: marks a vector of another group
 
 
@@ -132,6 +140,152 @@ def bm25(terms: DataFrame, units: DataFrame, round_to: int = 6, max_shared: int
     )
 
 
+class Within:
+    """A scope of whole units, the same for every query; a search holds it on the units before they are scored."""
+
+    def __init__(self, units: DataFrame):
+        self.units = units
+
+    def __call__(self, found: DataFrame) -> DataFrame:
+        return found.join(self.units, "unit_id", "left_semi")
+
+
+def best_places(query: np.ndarray, score: np.ndarray, unit: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best rows, equal scores by unit; only rows that reach the k-th score are sorted by unit."""
+    order = np.lexsort((-score, query))
+    q, s = query[order], score[order]
+    start = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.array([], int)
+    size = np.diff(np.append(start, len(q)))
+    last = np.repeat(s[start + np.minimum(size, k) - 1], size)
+    order = order[s >= last]
+    order = order[np.lexsort((unit[order], -score[order], query[order]))]
+    q = query[order]
+    start = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else start
+    return order[np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) < k]
+
+
+def word_trigrams(word: str) -> list[str]:
+    """Trigrams of one word as ``trigrams`` cuts them."""
+    padded = f"  {word} "
+    return [padded[i:i + 3] for i in range(len(word) + 1)]
+
+
+class _Parts:
+    """Parts of words, trigrams or terms, as numbers: those of queries first. A task keeps the words it has met up to a bound."""
+
+    def __init__(self, of_queries: list[str], whole: bool):
+        self.of_queries, self.whole = of_queries, whole
+        self.lengths = sorted({len(t) for t in of_queries})
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = {t: i for i, t in enumerate(self.of_queries)}
+        self.known: dict[str, list[int]] = {}
+
+    def _cut(self, word: str) -> list[int]:
+        if self.whole:  # every trigram counts for the size of the unit's set
+            return [self.number.setdefault(g, len(self.number)) for g in word_trigrams(word)]
+        n = len(word)
+        inside = {word[i:i + k] for k in self.lengths if k <= n for i in range(n - k + 1)}
+        return [self.number[t] for t in inside & self.number.keys()]
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of the words one after the other, and how many each has."""
+        if len(self.known) > WORDS_KEPT or len(self.number) > len(self.of_queries) + WORDS_KEPT:
+            self.clear()
+        got = []
+        for w in words:
+            parts = self.known.get(w)
+            if parts is None:
+                parts = self.known[w] = self._cut(w)
+            got.append(parts)
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((p for parts in got for p in parts), np.int64, int(size.sum())), size
+
+
+def _met_in_rows(units: DataFrame, text: Column, asked: pd.DataFrame, size: pd.DataFrame, q_type: T.DataType, whole: bool, least: float, best: int | None) -> DataFrame:
+    """(query_id, unit_id, shared, score) of units that share parts of words with a query, counted where the unit's text lies.
+
+    ``asked``: (query_id, part, n); ``size``: (query_id, n), the parts of a query. With ``whole`` parts are trigrams and the score
+    is that of Jaccard, else they are terms inside words and the score is the share of the query's. Scores are rounded half up to
+    six decimals, and rows below ``least`` dropped. Each task keeps the ``best`` of every query, or all without it.
+    """
+    queries = size["query_id"].to_numpy()
+    number = {q: i for i, q in enumerate(queries.tolist())}
+    names, part = np.unique(asked["part"].to_numpy().astype(object), return_inverse=True)
+    weight = np.zeros((len(names), len(queries)), np.float32)
+    np.add.at(weight, (part, asked["query_id"].map(number).to_numpy().astype(np.int64)), asked["n"].to_numpy().astype(np.float32))
+    shared = units.sparkSession.sparkContext.broadcast((queries, size["n"].to_numpy().astype(np.int64), list(names), weight))
+    kind, q_arrow = units.schema["unit_id"].dataType.simpleString(), to_arrow_type(q_type)
+    cut_units = units.select("unit_id", tx.tokens(text).alias("words"))
+    many, cells = 1 << 18, 1 << 21
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, n_q, names, weight = shared.value
+        parts, floor = _Parts(names, whole), np.full(len(queries), least)
+        held: list[tuple] = []
+        total = 0
+
+        def cut() -> None:
+            q, u, c, s = (np.concatenate(x) for x in zip(*held))
+            keep = best_places(q, s, u, best)
+            q, u, c, s = q[keep], u[keep], c[keep], s[keep]
+            held[:] = [(q, u, c, s)]
+            ends = np.append(q[1:] != q[:-1], True) if len(q) else np.zeros(0, bool)
+            full = np.bincount(q, minlength=len(queries)) >= best
+            floor[q[ends]] = np.where(full[q[ends]], np.maximum(s[ends], least), least)
+
+        def out(q: np.ndarray, u: pa.Array, c: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(queries[q], q_arrow), u, pa.array(c), pa.array(s)], ["query_id", "unit_id", "shared", "score"])
+
+        for batch in batches:
+            if not batch.num_rows or not len(queries):
+                continue
+            words = batch.column("words")
+            codes = words.flatten().dictionary_encode()
+            flat, n = parts.of(codes.dictionary.to_pylist())
+            first = np.append(0, np.cumsum(n))
+            word = np.asarray(codes.indices).astype(np.int64)
+            ends = np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(words), 0))))
+            used, local = np.unique(flat, return_inverse=True)
+            own = int(np.searchsorted(used, len(names)))
+            w, ids = weight[used[:own]], batch.column("unit_id")
+            step = max(1, cells // max(1, len(used), len(queries)))
+            for at in range(0, batch.num_rows, step):
+                to = min(at + step, batch.num_rows)
+                mine = word[ends[at]:ends[to]]
+                row = np.repeat(np.arange(to - at), np.diff(ends[at:to + 1]))
+                k = n[mine]
+                each = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[mine], k)
+                has = np.zeros((to - at, len(used)), bool)
+                has[np.repeat(row, k), local[each]] = True
+                n_u = has.sum(1)
+                c = has[:, :own].astype(np.float32) @ w
+                of = np.maximum(n_q[None, :] + n_u[:, None] - c, 1) if whole else n_q[None, :].astype(np.float32)
+                u, q = np.nonzero((c >= 0.5) & (c >= (floor[None, :] - 1e-5) * of))
+                c = c[u, q].astype(np.int64)
+                d = n_q[q] + n_u[u] - c if whole else n_q[q]
+                s = (2_000_000 * c + d) // (2 * d) / 1e6
+                ok = s >= least
+                mine = ids.take(pa.array(at + u[ok]))
+                if best is None:
+                    yield out(q[ok], mine, c[ok], s[ok])
+                    continue
+                held.append((q[ok], np.asarray(mine.to_pandas()), c[ok], s[ok]))
+                total += int(ok.sum())
+                if total > many + 2 * len(queries) * best:
+                    cut()
+                    total = len(held[0][0])
+        if held:
+            cut()
+            q, u, c, s = held[0]
+            yield out(q, pa.array(u, batch.column("unit_id").type), c, s)
+
+    if best is not None:
+        cut_units = cut_units.where("unit_id is not null")
+    return cut_units.mapInArrow(meet, f"query_id {q_type.simpleString()}, unit_id {kind}, shared bigint, score double")
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the words of a text, each padded with two blanks before and one after."""
     toks = tx.tokens(text)
@@ -140,10 +294,37 @@ def trigrams(text: Column) -> Column:
     return F.when(F.size(toks) > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
+def _within(units: DataFrame, keep: Keep | Within | None) -> tuple[DataFrame, Keep | None]:
+    """Units inside a scope of whole units, and the scope that is left to hold on candidates."""
+    if not isinstance(keep, Within):
+        return units, keep
+    return rows_of(units, keep.units, "unit_id"), None
+
+
 def trigram_similarity(queries: DataFrame, units: DataFrame, threshold: float = 0.3, max_shared: int = 1_000_000,
-                       keep: Keep | None = None) -> DataFrame:
+                       keep: Keep | Within | None = None, best: int | None = None) -> DataFrame:
     """Units whose trigram set overlaps the query's by at least ``threshold`` (Jaccard); exact.
 
+    Each unit meets all queries in its row, as one product of its trigrams with theirs; no text and no trigram is shuffled. With
+    ``best``, tasks give on no more than that many rows of a query, equal scores by unit. A ``Within`` holds on units before,
+    any other ``keep`` on all pairs that reach the threshold, which are not cut then. More than ``QUERIES_IN_ROWS`` queries are joined.
+    """
+    if not at_most(queries, QUERIES_IN_ROWS):
+        return _joined_trigrams(queries, units, threshold, max_shared, keep)
+    units, keep = _within(units, keep)
+    words = queries.where("query_id is not null").select("query_id", tx.tokens(F.array_join(search_tokens(F.col("query")), " ")).alias("words"))
+    grams = [(r["query_id"], g) for r in words.collect() for g in {g for w in r["words"] or [] for g in word_trigrams(w)}]
+    asked = pd.DataFrame(grams, columns=["query_id", "part"])
+    size = asked.groupby("query_id").size().rename("n").reset_index()
+    asked = asked.drop_duplicates().assign(n=1)
+    q_type = queries.schema["query_id"].dataType
+    met = _met_in_rows(units.where("unit_id is not null"), F.col("text"), asked, size, q_type, True, threshold, None if keep else best).select("query_id", "unit_id", "score")
+    return keep(met) if keep else met
+
+
+def _joined_trigrams(queries: DataFrame, units: DataFrame, threshold: float, max_shared: int, keep: Keep | Within | None) -> DataFrame:
+    """Similar pairs by joins, for any number of queries.
+
     A unit that similar shares one of the query's n - ceil(threshold n) + 1 rarest trigrams, so only these, by their
     frequency in the corpus, are looked for; sizes that cannot reach the threshold are dropped in the join. What a pair
     shares of them, with all other trigrams of the query on top, must reach the overlap that both sizes ask for. Pairs that
@@ -235,17 +416,43 @@ def word_hits(terms: DataFrame, units: DataFrame, max_shared: int = 1_000_000) -
     return words.mapInArrow(meet_words, f"unit_id {units.schema['unit_id'].dataType.simpleString()}, term string")
 
 
-def substring_hits(terms: DataFrame, units: DataFrame, keep: Keep | None = None) -> DataFrame:
-    """Share of a query's terms found anywhere inside the unit text, for the units that ``keep`` lets through."""
+def substring_hits(terms: DataFrame, units: DataFrame, keep: Keep | Within | None = None, best: int | None = None) -> DataFrame:
+    """Share of a query's terms found anywhere inside the unit text, for the units that ``keep`` lets through.
+
+    Rows of one unit_id count as one unit, with the hits of all. Terms of one token lie inside tokens of the text: a task
+    looks for them in the distinct tokens that it meets and scores each unit in its row. With ``best``, tasks give on no more
+    than that many rows of a query, equal scores by unit; units that come in several rows are added up first.
+    """
+    units, keep = _within(units, keep)
     size = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     one_token = F.col("term").rlike(f"^(?:{tx.CJK}|{tx.WORD})$")
-    found = word_hits(terms.where(one_token), units)
     others = terms.where(~one_token)
-    if not others.isEmpty():
-        low = units.select(F.col("unit_id").alias("id"), F.lower("text").alias("text"))
-        found = found.unionByName(containing(others, low).select(F.col("id").alias("unit_id"), "term"))
-    asked = F.broadcast(terms) if at_most(terms, 1_000_000) else terms
-    hits = found.join(asked, "term").groupBy("query_id", "unit_id").agg(F.count("*").alias("hits"))
+    in_rows = others.isEmpty() and not at_most(units.select("unit_id"), FEW_UNITS) and at_most(size, QUERIES_IN_ROWS) and at_most(terms, 1_000_000)
+    if in_rows:
+        asked = terms.where(one_token).where("query_id is not null").groupBy("query_id", F.col("term").alias("part")).agg(F.count("*").alias("n")).toPandas()
+        sizes = size.where("query_id is not null").withColumnRenamed("n_terms", "n").toPandas()
+        q_type = terms.schema["query_id"].dataType
+
+        def met(some: DataFrame, best: int | None) -> DataFrame:
+            return _met_in_rows(some, F.coalesce("text", F.lit("")), asked, sizes, q_type, False, 0.0, best)
+
+        if best is not None and not keep:
+            again = cut_lineage(units.groupBy("unit_id").agg(F.count("*").alias("n")).where("n > 1 OR unit_id is null").select("unit_id"))
+            if again.isEmpty():
+                return met(units, best).select("query_id", "unit_id", "score")
+            share = F.broadcast(again) if at_most(again, 500_000) else again
+            once = met(units.join(share, "unit_id", "left_anti"), best).select("query_id", "unit_id", F.col("shared").alias("hits"))
+            several = met(rows_of(units, again, "unit_id").unionByName(units.where("unit_id is null")), None).groupBy("query_id", "unit_id").agg(F.sum("shared").alias("hits"))
+            hits = once.unionByName(several)
+        else:
+            hits = met(units, None).groupBy("query_id", "unit_id").agg(F.sum("shared").alias("hits"))
+    else:
+        found = word_hits(terms.where(one_token), units)
+        if not others.isEmpty():
+            low = units.select(F.col("unit_id").alias("id"), F.lower("text").alias("text"))
+            found = found.unionByName(containing(others, low).select(F.col("id").alias("unit_id"), "term"))
+        asked = F.broadcast(terms) if at_most(terms, 1_000_000) else terms
+        hits = found.join(asked, "term").groupBy("query_id", "unit_id").agg(F.count("*").alias("hits"))
     return (
         (keep(hits) if keep else hits).join(size, "query_id")
         .select("query_id", "unit_id", F.round(F.col("hits") / F.col("n_terms"), 6).alias("score"))
