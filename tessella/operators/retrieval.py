@@ -462,11 +462,14 @@ def substring_hits(terms: DataFrame, units: DataFrame, keep: Keep | Within | Non
 def cascade(queries: DataFrame, levels: list) -> DataFrame:
     """Run each level only for the queries no earlier level answered.
 
-    ``levels`` is a list of (source name, function from queries to candidates).
+    ``levels`` is a list of (source name, function from queries to candidates). A level's candidates are settled, as all later
+    levels ask for their queries; when every query is answered, no further level is asked.
     """
     left, parts = queries, []
     for source, route in levels:
-        found = route(left).withColumn("source", F.lit(source))
+        if parts and left.isEmpty():
+            break
+        found = cut_lineage(route(left).withColumn("source", F.lit(source)))
         parts.append(found)
         left = left.join(found.select("query_id").distinct(), "query_id", "left_anti")
     return reduce(DataFrame.unionByName, parts)

@@ -67,3 +67,25 @@ def test_words_are_forgotten(monkeypatch):
     parts = rt._Parts(["  a", " ab"], True)
     first = parts.of(["ab", "abc", "b", "c"])
     assert [list(x) for x in parts.of(["ab"])] == [list(first[0][:3]), [3]] and list(first[0][:2]) == [0, 1]
+
+
+def test_cascade_asks_each_level_once(spark):
+    """Rows that a level's function sees are counted: once for every query left, and no level is asked without queries."""
+    seen = spark.sparkContext.accumulator(0)
+    asked = []
+
+    @F.udf("string")
+    def count(q):
+        seen.add(1)
+        return f"u{q}"
+
+    def level(name, condition):
+        def route(q):
+            asked.append(name)
+            return q.where(condition).withColumn("unit_id", count("query_id"))
+        return route
+
+    q = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
+    got = rt.cascade(q, [("one", level("one", "query_id = 1")), ("two", level("two", "query_id > 0")), ("three", level("three", "true"))])
+    assert sorted((r.query_id, r.source) for r in got.collect()) == [(1, "one"), (2, "two"), (3, "two")]
+    assert seen.value == 3 and asked == ["one", "two"]
