@@ -104,6 +104,14 @@ def test_scores_match_plain(docs):
     close(hmm.score_documents(docs.where("text is null or length(text) < 20000"), SMALL).collect(), plain(rows, SMALL))
 
 
+def test_every_learnt_word_has_its_own_emission(docs):
+    """Words learnt once, too: nothing but the unknown word is in the class of one emission unless a setting asks for it."""
+    some = docs.where("text is null or length(text) < 3000")
+    rows = [(r.doc_id, r.text) for r in some.collect()]
+    got = hmm.score_documents(some, hmm.Setting(states=3, rounds=2, segment=7, run_bytes=4000)).collect()
+    close(got, plain(rows, hmm.Setting(states=3, rounds=2, share=1 << 62, fewest=1)))
+
+
 def test_runs_and_segments_change_nothing(docs):
     def scores(setting):
         return sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.base_score, r.score) for r in hmm.score_documents(docs, setting).collect())
