@@ -39,3 +39,15 @@ def test_section_points(spark):
     terms = spark.createDataFrame([(1, "aha"), (2, "aha"), (2, "x"), (3, None)], "query_id int, term string")
     got = rt.section_keyword_search(terms, spark.createDataFrame(sections, "section_id string, title string, text string")).collect()
     assert sorted(map(tuple, got)) == [(1, "s1", 2002), (1, "s2", 50), (2, "s1", 2003)]
+
+
+def test_documents_of_found_units_come_from_the_index(spark, tmp_path):
+    from tessella.plans import q_evaluation as qe
+
+    d = str(tmp_path)
+    rows = [(i, f"title {i}\nalpha beta", "en", "s", 9) for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    found = spark.createDataFrame([(1, "3#1", 1), (1, "0#0", 2), (2, "9#9", 1)], "query_id int, unit_id string, rank int")
+    got = qe._with_docs(spark, d, found)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 2), (1, 3, 1)]
+    assert "regexp_extract_all" not in (plan := got._jdf.queryExecution().toString()) and "documents.parquet" not in plan
